@@ -31,10 +31,11 @@ def clip(c: Column, low=None, high=None) -> Column:
     """Bound ``c`` on either side. NULL stays NULL; a NULL bound does not bind."""
     out = c
     if high is not None:
-        out = F.when(c > as_column(high), as_column(high)).otherwise(out)
+        out = F.least(out, as_column(high))
     if low is not None:
-        out = F.when(c < as_column(low), as_column(low)).otherwise(out)
-    return out
+        out = F.greatest(out, as_column(low))
+    # least and greatest skip NULLs, so a missing value must be kept missing
+    return F.when(c.isNotNull(), out)
 
 
 def flag(condition: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake.functions.numbers import finite
+from transitlake.session import cut_lineage
 
 SKETCH_ACCURACY = 10_000
 RANGES, RANGES_MIN, RANGES_MAX = "_range", 16, 8192
@@ -130,51 +131,67 @@ def order_statistics(
     inside a bracket, a few rows in a thousand, and one marker for what lies on its
     outer side, merged map-side into a count; only that is shuffled. A group smaller
     than the sketch resolution keeps all its values. A rank outside its bracket
-    raises an error, so the answer is exact or absent.
+    raises an error, so the answer is exact or absent. Both passes run when this is
+    called; what they leave behind is small and kept in the checkpoint folder.
     """
     by = by or []
-    slots = [(i, k) for i in range(len(columns)) for k in range(len(shares))]
     margin = 8.0 / accuracy
     edges = [(max(s - margin, 0.0), min(s + margin, 1.0)) for s in shares]
-    from_top = [s > 0.5 for s in shares]
     infinite = F.lit(float("inf"))
-
-    # pass 1
     values = df.select(
         *by, *[finite(F.col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)]
     )
+
+    # pass 1: one sketch per column, then one row per (group, column)
     sketch = [e for pair in edges for e in pair]
     sketches = values.groupBy(*by).agg(
-        *[F.percentile_approx(f"_v{i}", sketch, accuracy).alias(f"_e{i}") for i in range(len(columns))],
-        *[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(columns))],
+        *[
+            F.struct(
+                F.lit(i).alias("slot"),
+                F.count(f"_v{i}").alias("total"),
+                F.percentile_approx(f"_v{i}", sketch, accuracy).alias("edges"),
+            ).alias(f"_s{i}")
+            for i in range(len(columns))
+        ]
+    )
+    small = F.col("total") < accuracy
+    low, high = [], []
+    for k, (lowest, highest) in enumerate(edges):
+        at = lambda n: F.get("edges", F.lit(n))
+        low.append(F.when(small | F.lit(lowest <= 0), -infinite).otherwise(at(2 * k)))
+        high.append(F.when(small | F.lit(highest >= 1), infinite).otherwise(at(2 * k + 1)))
+    side = (
+        sketches.select(*by, F.explode(F.array(*[f"_s{i}" for i in range(len(columns))])).alias("_s"))
+        .select(*by, "_s.*")
+        .select(*by, "slot", "total", F.array(*low).alias("low"), F.array(*high).alias("high"))
     )
-    facts = [F.col(f"_n{i}").alias(f"n{i}") for i in range(len(columns))]
-    for j, (i, k) in enumerate(slots):
-        small, found = F.col(f"_n{i}") < accuracy, F.col(f"_e{i}")
-        low, high = F.get(found, F.lit(2 * k)), F.get(found, F.lit(2 * k + 1))
-        facts.append(F.when(small | F.lit(edges[k][0] <= 0), -infinite).otherwise(low).alias(f"low{j}"))
-        facts.append(F.when(small | F.lit(edges[k][1] >= 1), infinite).otherwise(high).alias(f"high{j}"))
-    side = sketches.select(*by, F.struct(*facts).alias("_side"))
-
-    # pass 2
-    def cell(j: int, i: int, k: int) -> Column:
-        value, low, high = F.col(f"_v{i}"), F.col(f"_side.low{j}"), F.col(f"_side.high{j}")
-        if from_top[k]:
+    # one row per (group, column); written once, so that later steps do not repeat pass 1
+    side = cut_lineage(side)
+
+    # pass 2: one narrow row per value, so the generated code does not grow with
+    # the number of columns
+    long = values.select(
+        *by, F.posexplode(F.array(*[f"_v{i}" for i in range(len(columns))])).alias("slot", "value")
+    ).where(F.col("value").isNotNull())
+
+    def cell(k: int) -> Column:
+        value, low, high = F.col("value"), F.col("low")[k], F.col("high")[k]
+        if shares[k] > 0.5:
             kept = F.when(value > high, infinite).when(value >= low, value)
         else:
             kept = F.when(value < low, -infinite).when(value <= high, value)
-        return F.struct(F.lit(j).alias("slot"), kept.alias("value"))
+        return F.struct(F.lit(k).alias("which"), kept.alias("value"))
 
-    cells = F.array(*[cell(j, i, k) for j, (i, k) in enumerate(slots)])
-    group = [*by, "slot"]
+    group = [*by, "slot", "which"]
     counted = (
-        attach(values, side, by, few_groups)
-        .select(*by, F.explode(cells).alias("_cell"))
-        .select(*by, "_cell.slot", "_cell.value")
+        attach(long, side, [*by, "slot"], few_groups)
+        .select(*by, "slot", F.explode(F.array(*[cell(k) for k in range(len(shares))])).alias("_cell"))
+        .select(*by, "slot", "_cell.which", "_cell.value")
         .where(F.col("value").isNotNull())
         .groupBy(*group, "value")
         .agg(F.count("*").alias("n"))
     )
+    counted = cut_lineage(counted)
 
     # which value range holds each wanted rank: one row per (group, range)
     cut = with_ranges(counted, "value")
@@ -186,27 +203,15 @@ def order_statistics(
         .withColumn("before", F.coalesce(F.sum("here").over(earlier), F.lit(0)))
         .withColumn("kept", F.sum("here").over(everything))
     )
-    per_slot = F.array(
-        *[
-            F.struct(
-                F.col(f"_side.n{i}").alias("total"),
-                F.lit(from_top[k]).alias("from_top"),
-                positions(F.col(f"_side.n{i}"), k).alias("positions"),
-            )
-            for i, k in slots
-        ]
-    )
-    before, position = F.col("before"), F.col("position")
+    before, position, total = F.col("before"), F.col("position"), F.col("total")
+    from_top = F.get(F.array(*[F.lit(s > 0.5) for s in shares]), F.col("which"))
+    wanted = F.get(F.array(*[positions(total, k) for k in range(len(shares))]), F.col("which"))
     targets = (
-        attach(ranges, side, by, few_groups)
-        .withColumn("_slot", F.get(per_slot, F.col("slot")))
-        .withColumn(
-            "before",
-            before + F.when(F.col("_slot.from_top"), F.col("_slot.total") - F.col("kept")).otherwise(0),
-        )
-        .withColumn("position", F.explode("_slot.positions"))
+        attach(ranges, side.drop("low", "high"), [*by, "slot"], few_groups)
+        .withColumn("before", before + F.when(from_top, total - F.col("kept")).otherwise(0))
+        .withColumn("position", F.explode(wanted))
         .where((position > before) & (position <= before + F.col("here")))
-        .select(*group, RANGES, "position", "before", F.col("_slot.total").alias("total"))
+        .select(*group, RANGES, "position", "before", "total")
     )
 
     # only those ranges are sorted
@@ -220,15 +225,15 @@ def order_statistics(
     )
     run, value = F.col("run"), F.col("value")
     error = F.raise_error(F.lit("a rank fell outside its bracket; raise accuracy"))
-    names = F.array(*[F.lit(columns[i]) for i, _ in slots])
+    names = F.array(*[F.lit(c) for c in columns])
     return (
         hits.withColumn("run", F.sum("n").over(upto) + before)
         .where((run >= position) & (run - F.col("n") < position))
         .select(
             *by,
             F.get(names, F.col("slot")).alias("column"),
-            F.pmod(F.col("slot"), F.lit(len(shares))).alias("which"),
-            F.col("total").alias("n"),
+            "which",
+            total.alias("n"),
             "position",
             F.when(F.abs(value) < infinite, value).otherwise(error.cast("double")).alias("value"),
         )
