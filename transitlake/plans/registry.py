@@ -224,9 +224,13 @@ def feature_medians(spark, folder):
     return quality.medians(featured(spark, folder), MEDIANS).select("key", r("value").alias("value"))
 
 
+# depth_consistency is constant up to the last bits in these feeds: nothing to bin
+BINNED = ["period", "ror", "dur_frac", "depth_ppm"]
+
+
 @query(
     f"""WITH {Q.FEEDS}, {Q.LABELS}, {Q.BUNDLES}, {Q.FEATURES},
-cells AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, {c} AS v FROM featured" for c in S.HISTOGRAM_COLUMNS)}),
+cells AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, {c} AS v FROM featured" for c in BINNED)}),
 e AS (SELECT col, min(v) AS lo, max(v) AS hi FROM cells GROUP BY col),
 b AS (SELECT col, CAST(least(floor((v - lo) * 50 / (hi - lo)), 49) AS INT) AS bin, count(*) AS n
       FROM cells JOIN e USING (col) WHERE v IS NOT NULL GROUP BY ALL)
@@ -235,7 +239,7 @@ SELECT col AS "column", g.bin::INT AS bin, round(lo + (hi - lo) / 50 * g.bin, 6)
 FROM e CROSS JOIN (SELECT unnest(range(50)) AS bin) g LEFT JOIN b USING (col, bin)"""
 )
 def quality_histogram(spark, folder):
-    bins = quality.histogram(featured(spark, folder), S.HISTOGRAM_COLUMNS)
+    bins = quality.histogram(featured(spark, folder), BINNED)
     return bins.select("column", "bin", *rounded("bin_from", "bin_to"), "n")
 
 
