@@ -8,8 +8,8 @@ from transitlake.plans import adapters, learn
 
 FEATURES = [f"f{i}" for i in range(8)]
 QUICK = {
-    "boosted": Learner("boosted", {"maxIter": 2, "maxDepth": 2}),
-    "forest": Learner("forest", {"numTrees": 5, "maxDepth": 3}),
+    "boosted": Learner("boosted", {"maxIter": 1, "maxDepth": 2}),
+    "forest": Learner("forest", {"numTrees": 3, "maxDepth": 3}),
     "linear": Learner("linear", {"maxIter": 10}),
 }
 
@@ -27,7 +27,7 @@ def vectors(spark, data):
 
 @pytest.fixture(scope="module")
 def training(vectors):
-    return learn.train(vectors, QUICK, FEATURES, k=3)
+    return learn.train(vectors, QUICK, FEATURES, k=2)
 
 
 def sums_to_one(df):

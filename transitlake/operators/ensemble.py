@@ -78,11 +78,11 @@ class Calibrator:
 
     folds: list[list[tuple]] | None = None
 
-    def fit(self, df: DataFrame, y: str = "y", fold: str = "fold", k: int = 3) -> Calibrator:
+    def fit(self, df: DataFrame, y: str = "y", key: str = "row_id", k: int = 3) -> Calibrator:
         data = assemble(df, P)
         self.folds = []
         for i in range(k):
-            part = F.pmod(F.col(fold), F.lit(k))
+            part = F.pmod(F.xxhash64(key), F.lit(k))
             fit_on, map_on = data.where(part != i), data.where(part == i)
             pairs = []
             for c in S.CLASS_IDS:

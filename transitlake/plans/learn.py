@@ -219,8 +219,7 @@ def cross_calibrate(mixed: DataFrame, parts: int = 2) -> DataFrame:
     out = None
     for i in range(parts):
         part = F.pmod(F.col("fold"), F.lit(parts))
-        other = mixed.where(part != i).withColumn("_third", F.pmod(F.xxhash64("row_id"), F.lit(3)).cast("int"))
-        calibrator = Calibrator().fit(other, fold="_third")
+        calibrator = Calibrator().fit(mixed.where(part != i))
         scored = calibrator.predict(mixed.where(part == i))
         out = scored if out is None else out.unionByName(scored)
     return out

@@ -897,3 +897,65 @@ def latest_release_card(spark, folder):
 @query("SELECT DISTINCT strftime(ts, '%Y%m%d') AS release FROM events ORDER BY release DESC LIMIT 2")
 def latest_releases(spark, folder):
     return releases.latest_releases(_release_metrics(spark, folder))
+
+
+@query(
+    """WITH m AS (SELECT avg(l_tax) AS a, stddev_pop(l_tax) AS b, avg(l_quantity) AS c, stddev_pop(l_quantity) AS d FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate,
+  round((l_tax - a) / b, 6) AS l_tax_z, round((l_quantity - c) / d, 6) AS l_quantity_z FROM lineitem, m"""
+)
+def standard_scores(spark, folder):
+    scored = sampling.zscores(A.table(spark, folder, "lineitem"), ["l_tax", "l_quantity"])
+    return scored.select(*A.LINE_KEY, *rounded("l_tax_z", "l_quantity_z"))
+
+
+@query(
+    f"""WITH {Q.SKY} SELECT mission, 'Candidate' AS label, round(ra_deg, 6) AS ra_deg, round(dec_deg, 6) AS dec_deg, dist_pc,
+  NULL::DOUBLE AS period, NULL::DOUBLE AS rade_Re, NULL::DOUBLE AS depth_ppm, NULL::DOUBLE AS p_exoplanet FROM sky"""
+)
+def universe_rows(spark, folder):
+    seen = discover.universe_view(A.sky_rows(spark, folder))
+    return seen.withColumns({c: r(c) for c in ("ra_deg", "dec_deg")})
+
+
+# --------------------------------------------------------------- learning --
+@query()
+def trend_audit(spark, folder):
+    from transitlake.operators.explain import trend_audit as audit
+
+    return audit(A.scores(spark, folder))
+
+
+def _quick_learners():
+    from transitlake.operators.learners import Learner
+
+    return {
+        "forest": Learner("forest", {"numTrees": 8, "maxDepth": 4}),
+        "linear": Learner("linear", {"maxIter": 20}),
+    }
+
+
+VECTOR_FEATURES = [f"f{i}" for i in range(64)]
+
+
+@query()
+def out_of_fold_report(spark, folder):
+    """Grouped cross-validation of two learners: scores and ensemble weights."""
+    from transitlake.operators.ensemble import model_report
+    from transitlake.plans import learn
+    from transitlake.session import cut_lineage
+
+    ready = learn.prepare(A.vectors(spark, folder), VECTOR_FEATURES, {}, ["row_id", "star_id", "y"])
+    folded = cut_lineage(sampling.group_folds(ready, 3))
+    oof = cut_lineage(learn.out_of_fold(folded, _quick_learners(), 3))
+    return metrics.ensemble_weights(model_report(oof), "oof_pr_auc_macro")
+
+
+@query()
+def scored_vectors(spark, folder):
+    """Train, calibrate and score the whole table; one decision row per vector."""
+    from transitlake.plans import learn
+
+    rows = A.vectors(spark, folder)
+    trained = learn.train(rows, {"linear": _quick_learners()["linear"]}, VECTOR_FEATURES, k=2)
+    return trained.bundle.score(rows).select("row_id", *S.PROBABILITIES, "pred", "pred_cost", "prediction_set", "discovery_score")
