@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitlake import schema as S
-from transitlake.functions.numbers import finite, flag, present, ratio
+from transitlake.functions.numbers import flag, present, ratio
 
 
 def add_bundles(df: DataFrame, bases: list[str] = S.BUNDLE_BASES) -> DataFrame:
@@ -28,7 +28,7 @@ def add_catalog_features(df: DataFrame) -> DataFrame:
     c = F.col
     new = {}
     if present(df, "ror"):
-        new["depth_from_ror_ppm"] = finite(F.pow(c("ror"), F.lit(2)) * 1e6)
+        new["depth_from_ror_ppm"] = c("ror") * c("ror") * 1e6
         if present(df, "depth_ppm"):
             gap = F.abs(c("depth_ppm") - new["depth_from_ror_ppm"])
             new["depth_consistency"] = ratio(gap, c("depth_ppm"))

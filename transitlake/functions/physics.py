@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitlake import schema as S
-from transitlake.functions.numbers import clip, finite, flag, optional, present, ratio, safe_log10
+from transitlake.functions.numbers import clip, flag, optional, present, ratio, safe_log10
 
 TEMPORARY = ["_mass", "_orbit", "_radius"]
 
@@ -22,13 +22,13 @@ def star_mass(mass: Column, logg: Column, radius: Column) -> Column:
     both in solar masses."""
     gravity_si = F.pow(F.lit(10.0), logg) * 0.01
     implied = gravity_si * F.pow(radius * S.SUN_RADIUS, F.lit(2)) / S.GRAVITY / S.SUN_MASS
-    return F.coalesce(mass, finite(implied))
+    return F.coalesce(mass, implied)
 
 
 def orbit_size(mass: Column, period: Column) -> Column:
     """Semi-major axis in metres from the third law (planet mass neglected)."""
     cube = S.GRAVITY * S.SUN_MASS / (4 * math.pi**2) * mass * F.pow(period * S.DAY_SECONDS, F.lit(2))
-    return finite(F.cbrt(cube))
+    return F.cbrt(cube)
 
 
 def transit_probability(radius_m: Column, orbit_m: Column, ror: Column, ecc: Column) -> Column:
@@ -82,7 +82,7 @@ def add_physics(df: DataFrame) -> DataFrame:
             period, radius_m, orbit, ror, get("impact"), get("incl_deg")
         ),
     }
-    out = out.withColumns({name: finite(value) for name, value in new.items()})
+    out = out.withColumns(new)
 
     late = {}
     if present(df, "a_over_rs"):

@@ -14,6 +14,7 @@ from transitlake.operators.dedup import drop_repeats, stack_feeds
 from transitlake.operators.filters import labelled, plausible, positive
 from transitlake.operators.quality import require_one_mission, winsorize
 from transitlake.operators.skymatch import match_catalogs
+from transitlake.session import tune
 
 
 def map_catalog(raw: DataFrame, catalog: S.Catalog) -> DataFrame:
@@ -77,5 +78,6 @@ def build_unified(spark: SparkSession, paths: dict[str, str], gaia: str | None =
     """``paths`` maps catalog names (koi, toi, k2) to files or folders."""
     from transitlake.sources.readers import read_delimited, read_optional
 
+    tune(spark)
     feeds = [map_catalog(read_delimited(spark, path), S.CATALOGS[name]) for name, path in paths.items()]
     return unify(feeds, gaia=read_optional(spark, gaia), tic=read_optional(spark, tic), **options)

@@ -18,6 +18,7 @@ from transitlake.operators import dedup, discover, filters, metrics, quality, re
 from transitlake.plans import adapters as A
 from transitlake.plans import oracle_parts as Q
 from transitlake.plans.build import enrich, unify
+from transitlake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +29,11 @@ def query(sql: str | None = None):
     """Register the decorated function under its own name, with its check SQL."""
 
     def keep(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            tune(spark)
+            return function(spark, folder)
+
+        QUERIES[function.__name__] = run
         if sql is not None:
             ORACLES[function.__name__] = sql
         return function
@@ -954,8 +959,9 @@ def out_of_fold_report(spark, folder):
 @query()
 def scored_vectors(spark, folder):
     """Train, calibrate and score the whole table; one decision row per vector."""
+    from transitlake.operators.learners import Learner
     from transitlake.plans import learn
 
     rows = A.vectors(spark, folder)
-    trained = learn.train(rows, {"linear": _quick_learners()["linear"]}, VECTOR_FEATURES, k=2)
+    trained = learn.train(rows, {"linear": Learner("linear", {"maxIter": 10})}, VECTOR_FEATURES, k=2)
     return trained.bundle.score(rows).select("row_id", *S.PROBABILITIES, "pred", "pred_cost", "prediction_set", "discovery_score")

@@ -20,7 +20,20 @@ def build_session(app: str = "transitlake", master: str | None = None, **conf) -
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    tune(spark)
+    return spark
+
+
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def tune(spark: SparkSession) -> None:
+    """Fall back to split projections where one generated method would be too large
+    for HotSpot to compile (8000 bytes): the wide feature stages run several times
+    faster that way. A value set by the user is left alone."""
+    if spark.conf.get(METHOD_LIMIT, "65535") == "65535":
+        spark.conf.set(METHOD_LIMIT, "8000")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
