@@ -142,3 +142,28 @@ def test_metrics_of_perfect_scores(rows):
     table = metrics.score_table(df)
     assert metrics.macro_average_precision(table).first()[0] == 1.0
     assert metrics.ovo_auc(table).first()[0] == 1.0
+
+
+def test_explore_and_export(spark, training, vectors, tmp_path):
+    from transitlake.plans import discovery
+    from transitlake.sources.readers import read_json_lines
+
+    pool = vectors.where("row_id < 60").withColumnRenamed("mission", "source_mission")
+    positions = vectors.select(
+        "star_id", F.col("row_id").alias("n"), (F.col("row_id") * 1.0).alias("ra_deg"), F.lit(1.0).alias("dec_deg"),
+        F.when(F.col("row_id") % 2 == 0, 5.0).alias("dist_pc"), F.lit(1.5).alias("rade_Re"),
+    )
+    tables = discovery.explore(training.bundle, pool, positions, ["n"], top_k=10)
+    rows = pool.count()
+    assert tables["explanations"].count() == rows and tables["candidates"].count() == 10
+    assert tables["universe"].where("dist_pc is null").count() == 0
+    discovery.export(tables, str(tmp_path / "out"))
+    back = read_json_lines(spark, str(tmp_path / "out" / "explanations"))
+    assert back.count() == rows
+    assert discovery.summary(training.bundle, tables["explanations"]).first()["rows_evaluated"] == rows
+
+
+def test_metric_rows(training):
+    got = {(r["metric"], r["mission"]): r["value"] for r in learn.metric_rows(training).collect()}
+    assert {"oof.weighted_pr_auc_macro", "oof.calibrated_pr_auc_macro", "ece", "pr_auc_macro"} == {m for m, _ in got}
+    assert all(0 <= v <= 1 for v in got.values())

@@ -147,3 +147,10 @@ def test_roles():
     assert roles["engineered_features"] == ["depth_snr"]
     assert roles["raw_features"][:3] == ["rowid", "period", "depth_snr"]
     assert "gaia_gmag" in roles["raw_features"]
+
+
+def test_name_table(spark, tmp_path):
+    path = tmp_path / "names.json"
+    path.write_text(json.dumps([{"ra": 1.0, "dec": 2.0, "toi": "7.01"}, {"ra": 3.0, "dec": 2.0, "toi": None}], indent=1))
+    got = readers.read_names(spark, str(path), "TESS").orderBy("order").collect()
+    assert [r["ra"] for r in got] == [1.0, 3.0] and got[0]["mission"] == "TESS"

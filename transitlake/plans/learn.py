@@ -245,3 +245,26 @@ def importances(bundle: Bundle, spark) -> DataFrame:
     rows = [(m, f, v) for m, fitted in bundle.models.items() for f, v in fitted.importances(bundle.features)]
     table = spark.createDataFrame(rows, "model string, feature string, importance double")
     return table.orderBy(F.desc("importance"), "model", "feature").limit(100)
+
+
+def metric_rows(trained: Training, test: DataFrame | None = None) -> DataFrame:
+    """Everything a release is compared by, as ``metric, mission, value`` rows."""
+    def one(table: DataFrame, name: str, value: str) -> DataFrame:
+        return table.select(F.lit(name).alias("metric"), F.lit("All").alias("mission"), F.col(value).alias("value"))
+
+    curves = {"oof.weighted_pr_auc_macro": trained.mixed, "oof.calibrated_pr_auc_macro": trained.calibrated}
+    out = None
+    for name, table in curves.items():
+        row = one(metrics.macro_average_precision(metrics.score_table(table)), name, "pr_auc_macro")
+        out = row if out is None else out.unionByName(row)
+    out = out.unionByName(one(metrics.calibration_error(metrics.reliability(trained.calibrated)), "ece", "ece"))
+    if "mission" in trained.calibrated.columns:
+        found = metrics.mission_metrics(trained.calibrated)
+        out = out.unionByName(
+            found.select(F.lit("pr_auc_macro").alias("metric"), "mission", F.col("pr_auc_macro").alias("value"))
+        )
+    if test is not None:
+        scores = evaluate(trained.bundle, test)
+        for value in ("pr_auc_macro", "roc_auc_ovo"):
+            out = out.unionByName(one(scores, f"holdout.{value}", value))
+    return out
