@@ -308,7 +308,10 @@ def table_fingerprint(spark, folder):
     return quality.fingerprint(A.feeds(spark, folder))
 
 
-@query("SELECT 0::BIGINT AS violations FROM (SELECT count(*) FROM lineitem)")
+@query(
+    """SELECT count(*) FILTER (CAST(l_returnflag = 'A' AS INT) + CAST(l_returnflag = 'R' AS INT)
+  + CAST(l_returnflag = 'N' AS INT) <> 1) AS violations FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+)
 def mission_flag_check(spark, folder):
     stacked = dedup.stack_feeds(A.separate_feeds(spark, folder))
     return quality.flag_violations(stacked)
