@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,13 +36,25 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(METHOD_LIMIT, "8000")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so that a lost executor
-    costs a re-read and not a recomputation of everything above it."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
+
+    Only a local run may go without the setting; it uses its own warehouse folder. A
+    cluster without it is an error, as executors would write to their own disks.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        # only a run without a configured shared folder (tests) lands in the local one
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="transitlake-checkpoint-"))
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder so that a lost executor
+    costs a re-read and not a recomputation of everything above it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
