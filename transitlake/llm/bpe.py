@@ -89,6 +89,13 @@ class Vocabulary:
             self.pairs.setdefault((ids[left], ids[right]), rank)
             self.merged.append(ids[left + right])
 
+    @classmethod
+    def of(cls, tables: dict) -> Vocabulary:
+        """From the tables of another one."""
+        made = cls.__new__(cls)
+        vars(made).update(tables)
+        return made
+
     def word(self, piece: str) -> tuple[int, ...]:
         """The ids of one pre-token."""
         raw = piece.encode("utf-8", "replace")
@@ -190,12 +197,12 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     """
     spark = df.sparkSession
     kept = without(df, ids, decoded)
-    shared = spark.sparkContext.broadcast(Vocabulary(vocabulary))
+    shared = spark.sparkContext.broadcast(vars(Vocabulary(vocabulary)))
     at = kept.columns.index(text)
     schema = f"{kept._jdf.schema().toDDL()}, `{ids}` ARRAY<INT>, `{decoded}` STRING" if kept.columns else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        coder = Coder(Vocabulary.of(shared.value))
         for batch in batches:
             found = [coder.encode(t) if t else [] for t in batch.column(at).to_pylist()]
             back = [coder.decode(i) for i in found]
