@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe
-from transitlake.llm.common import table
+from transitlake.llm import bpe, mixing, quality_rules, sharding
+from transitlake.llm.common import stored, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,3 +44,35 @@ def op10_bpe(spark, folder):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op5_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    measured = stored(quality_rules.measure(docs, keep_text=False))
+    cutoffs = quality_rules.fit(measured, table(spark, folder, "labels"))
+    judged = quality_rules.judge(measured, cutoffs)
+    return judged.select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept", "lang")
+
+
+@query()
+def op7_slots(spark, folder):
+    docs = table(spark, folder, "documents")
+    rows = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    placed = sharding.place(stored(rows), ["doc_id", "text_crc32", "size"], "size", 8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
+    )
+
+
+@query()
+def op9_mix(spark, folder):
+    docs = table(spark, folder, "documents")
+    rows = stored(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("content")))
+    mixed = mixing.mix(rows, ["doc_id", "content"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
