@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, mixing, quality_rules, sharding
+from transitlake.llm import bpe, chat, mixing, quality_rules, secrets, sharding
 from transitlake.llm.common import stored, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,41 @@ def op9_mix(spark, folder):
     rows = stored(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("content")))
     mixed = mixing.mix(rows, ["doc_id", "content"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query()
+def op2_secrets(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scanned = secrets.scan(docs)
+    base = F.filter("spans", lambda s: s["order"] < len(secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return scanned.select(
+        "doc_id",
+        *[count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query()
+def op3_chat(spark, folder):
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    trees = stored(chat.as_trees(given.unionByName(added), "conv_id", "turn", "role", "text"))
+    made = stored(chat.format_trees(trees, "conv_id", "node", "parent", "score"))
+    read = made.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn(
+        "learned", chat.under_mask(F.col("formatted"), F.col("mask"))
+    )
+    told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(told, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
