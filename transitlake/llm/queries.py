@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, chat, mixing, quality_rules, secrets, sharding
+from transitlake.llm import bpe, chat, mixing, multi_index, quality_rules, secrets, sharding
 from transitlake.llm.common import stored, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,9 @@ def op3_chat(spark, folder):
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query()
+def op6_multi_index(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return multi_index.search(vectors, F.col("vec_id") % 20 == 0)
