@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, chat, mixing, multi_index, quality_rules, secrets, sharding
+from transitlake.llm import bpe, chat, mixing, multi_index, ngram_join, quality_rules, secrets, sharding
 from transitlake.llm.common import stored, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,8 @@ def op3_chat(spark, folder):
 def op6_multi_index(spark, folder):
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return multi_index.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op1_ngram_join(spark, folder):
+    return ngram_join.join_components(table(spark, folder, "documents"), n=4, percent=85)
