@@ -8,6 +8,8 @@ control strings are escaped inside texts, so that the text can be read back exac
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,26 +51,29 @@ def reply_paths(
             "_tree", "_node", F.col("_n").alias("_up"), "_sum", F.lit(1).cast("long").alias("_count")
         )
     )
-    first, jumps = steps, []
+    first, jumps, at_root = steps, [], []
     most = steps.groupBy("_tree").count().agg(F.max("count")).first()[0] or 0
-    while 2 ** len(jumps) <= most:
-        jumps.append(steps.where(F.col("_up").isNotNull()).select(F.col("_tree").alias("_t"), F.col("_node").alias("_n"), F.col("_up").alias("_a")))
-        if jumps[-1].isEmpty():
-            jumps.pop()
+    while True:
+        # rows at their root are settled; only the others go on
+        at_root.append(steps.where(F.col("_up").isNull()))
+        going = steps.where(F.col("_up").isNotNull())
+        if 2 ** len(jumps) > most or going.isEmpty():
             break
-        beyond = steps.select(
+        jumps.append(going.select(F.col("_tree").alias("_t"), F.col("_node").alias("_n"), F.col("_up").alias("_a")))
+        every = reduce(DataFrame.unionByName, at_root, going)
+        beyond = every.select(
             F.col("_tree").alias("_t"), F.col("_node").alias("_n"), F.col("_up").alias("_a"),
             F.col("_sum").alias("_s"), F.col("_count").alias("_c"),
         )
         steps = stored(
-            steps.join(beyond, same & (F.col("_up") == F.col("_n")), "left").select(
+            going.join(beyond, same & (F.col("_up") == F.col("_n"))).select(
                 "_tree", "_node", F.col("_a").alias("_up"),
-                (F.col("_sum") + F.coalesce("_s", F.lit(0.0))).alias("_sum"),
-                (F.col("_count") + F.coalesce("_c", F.lit(0))).alias("_count"),
+                (F.col("_sum") + F.col("_s")).alias("_sum"), (F.col("_count") + F.col("_c")).alias("_count"),
             )
         )
+    settled = reduce(DataFrame.unionByName, at_root)
     parents = first.where(F.col("_up").isNotNull()).select(F.col("_tree").alias("_t"), F.col("_up").alias("_n")).distinct()
-    leaves = steps.where(F.col("_up").isNull()).join(parents, same & (F.col("_node") == F.col("_n")), "left_anti")
+    leaves = settled.join(parents, same & (F.col("_node") == F.col("_n")), "left_anti")
     best = Window.partitionBy("_tree").orderBy((F.col("_sum") / F.col("_count")).desc(), "_node")
     chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
     paths = stored(chosen.select("_tree", "branch", F.col("_node").alias("leaf"), "_node", (F.col("_count") - 1).alias("position")))
