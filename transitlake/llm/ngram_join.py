@@ -52,8 +52,8 @@ def ngrams(raw: bytes, n: int) -> np.ndarray:
 
 
 def hashed_sets(df: DataFrame, id: str, text: str, n: int, whole: bool) -> DataFrame:
-    """``_id, _n, _class`` (hash of the set, null if empty) and ``_grams``: the sampled part
-    of the set or the whole of it."""
+    """``_id, _content`` (hash of the text), ``_n, _class`` (hash of the set, null if empty) and
+    ``_grams``: the sampled part of the set or the whole of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,11 +65,12 @@ def hashed_sets(df: DataFrame, id: str, text: str, n: int, whole: bool) -> DataF
             grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), sizes, pa.array(classes, pa.int64()), grams], names=["_id", "_n", "_class", "_grams"]
+                [batch.column(0), batch.column(2), sizes, pa.array(classes, pa.int64()), grams],
+                names=["_id", "_content", "_n", "_class", "_grams"],
             )
 
-    narrow = df.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return narrow.mapInArrow(run, "_id long, _n long, _class long, _grams array<long>")
+    narrow = df.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_content"))
+    return narrow.mapInArrow(run, "_id long, _content long, _n long, _class long, _grams array<long>")
 
 
 def least_shared(n: Column, percent: int) -> Column:
@@ -260,17 +261,9 @@ def links_between(sets: DataFrame, percent: int, chunk: int) -> DataFrame:
     return components(links.unionByName(more))
 
 
-def join_components(
-    df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, chunk: int = CHUNK
-) -> DataFrame:
-    """One row per input row: ``id``, ``n_shingles`` and ``component_id``, the smallest id that
-    links of Jaccard similarity ``percent / 100`` or more reach.
-
-    Words are runs without the six ASCII blanks, A-Z lower-cased. A text of fewer than ``n``
-    words is one n-gram; an empty or null text has none, links with nothing and is its own
-    component. Rows of equal sets are linked, repeated ids included; a row without an id
-    takes no part in links and has no component. Of the input only ``id`` and ``text`` are read.
-    """
+def rooted_rows(df: DataFrame, id: str, text: str, n: int, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """One row per input row: ``_id, _content, _n, _class`` and ``_root``, the component's mark
+    (null for an empty set or a null id)."""
     hashed = stored(hashed_sets(df, id, text, n, whole=False))
     known = hashed.where(F.col("_class").isNotNull() & F.col("_id").isNotNull())
     sampled = known.select("_class", F.explode("_grams").alias("_gram"))
@@ -289,10 +282,43 @@ def join_components(
     sets = sets.join(wanted, (F.col("_class") == F.col("_c")) & (F.col("_id") == F.col("_rep")), "left_semi")
     roots = links_between(stored(sets.select("_class", "_n", "_grams").dropDuplicates(["_class"])), percent, chunk)
     rooted = hashed.drop("_grams").join(roots, F.col("_class") == F.col("vertex"), "left")
-    rooted = rooted.withColumn("_root", F.when(F.col("_id").isNotNull(), F.coalesce("root", "_class")))
-    least = rooted.where(F.col("_root").isNotNull()).groupBy(F.col("_root").alias("_r")).agg(F.min("_id").alias("_least"))
+    mark = F.when(F.col("_id").isNotNull(), F.coalesce("root", "_class"))
+    return rooted.select("_id", "_content", "_n", "_class", mark.alias("_root"))
+
+
+def join_components(
+    df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, chunk: int = CHUNK
+) -> DataFrame:
+    """One row per input row: ``id``, ``n_shingles`` and ``component_id``, the smallest id that
+    links of Jaccard similarity ``percent / 100`` or more reach.
+
+    Words are runs without the six ASCII blanks, A-Z lower-cased. A text of fewer than ``n``
+    words is one n-gram; an empty or null text has none, links with nothing and is its own
+    component. Rows of equal sets are linked, repeated ids included; a row without an id
+    takes no part in links and has no component. Of the input only ``id`` and ``text`` are read.
+    """
+    rooted = rooted_rows(df, id, text, n, percent, chunk)
+    member = F.col("_root").isNotNull()
+    least = rooted.where(member).groupBy(F.col("_root").alias("_r")).agg(F.min("_id").alias("_least"))
     # rows without a class need no partner and no place in the join
-    joined = rooted.where(F.col("_root").isNotNull()).join(least, F.col("_root") == F.col("_r"))
-    bare = rooted.where(F.col("_root").isNull()).withColumn("_least", F.when(F.col("_class").isNull(), F.col("_id")))
+    joined = rooted.where(member).join(least, F.col("_root") == F.col("_r"))
+    bare = rooted.where(~member).withColumn("_least", F.when(F.col("_class").isNull(), F.col("_id")))
     columns = [F.col("_id").alias(id), F.col("_n").alias("n_shingles"), F.col("_least").alias("component_id")]
     return joined.select(*columns).unionByName(bare.select(*columns))
+
+
+def one_of_each(
+    df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = CHUNK
+) -> DataFrame:
+    """The rows of ``df``, one for each component: that of the smallest id (then smallest
+    content hash). Rows with an empty set stand alone, so of equal ones with one id one
+    stays; rows without an id all stay."""
+    rooted = rooted_rows(df, id, text, n, percent, chunk).where(F.col("_id").isNotNull())
+    grouped = rooted.where(F.col("_root").isNotNull()).groupBy("_root")
+    best = grouped.agg(F.min(F.struct("_id", "_content")).alias("_best")).select("_best.*")
+    empty = rooted.where(F.col("_root").isNull()).select("_id", "_content").distinct()
+    best = best.unionByName(empty)
+    marked = df.withColumn("_own", F.xxhash64(text))
+    same = (F.col(f"`{id}`").cast("long") == F.col("_id")) & (F.col("_own") == F.col("_content"))
+    kept = marked.where(F.col(f"`{id}`").isNotNull()).join(best, same).dropDuplicates(["_id", "_content"])
+    return kept.select(*df.columns).unionByName(df.where(F.col(f"`{id}`").isNull()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, chat, mixing, multi_index, ngram_join, quality_rules, secrets, sharding
+from transitlake.llm import bpe, chat, lm_scores, mixing, multi_index, ngram_join, quality_rules, secrets, sharding, token_counts
 from transitlake.llm.common import stored, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,35 @@ def op6_multi_index(spark, folder):
 @query()
 def op1_ngram_join(spark, folder):
     return ngram_join.join_components(table(spark, folder, "documents"), n=4, percent=85)
+
+
+@query(
+    """WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\t-\r ]+') AS ws FROM documents)),
+n AS (SELECT count(*) AS total FROM w), size AS (SELECT doc_id, count(*) AS k FROM w GROUP BY 1),
+p AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w),
+one AS (SELECT w, count(*) AS c FROM w GROUP BY 1), mine AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY ALL),
+two AS (SELECT b, w, count(*) AS c FROM p WHERE b IS NOT NULL GROUP BY ALL),
+mine2 AS (SELECT doc_id, b, w, count(*) AS c FROM p WHERE b IS NOT NULL GROUP BY ALL),
+scored AS (SELECT p.doc_id, CASE
+  WHEN p.b IS NOT NULL AND two.c - mine2.c > 0 THEN ln(two.c - mine2.c) - ln(before.c - own.c)
+  ELSE ln(greatest(one.c - mine.c, 1)) - ln(greatest(total - k, 1)) + CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  FROM p JOIN n ON true JOIN size USING (doc_id) JOIN one ON one.w = p.w JOIN mine ON mine.doc_id = p.doc_id AND mine.w = p.w
+  LEFT JOIN two ON two.b = p.b AND two.w = p.w LEFT JOIN mine2 ON mine2.doc_id = p.doc_id AND mine2.b = p.b AND mine2.w = p.w
+  LEFT JOIN one before ON before.w = p.b LEFT JOIN mine own ON own.doc_id = p.doc_id AND own.w = p.b)
+SELECT d.doc_id, coalesce(k, 0) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / k, 6) AS mean_log_score
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT doc_id, sum(s) AS s FROM scored GROUP BY 1) USING (doc_id)"""
+)
+def op4_lm_scores(spark, folder):
+    scored = lm_scores.score(table(spark, folder, "documents").select("doc_id", "text"))
+    return scored.select(
+        "doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score")
+    )
+
+
+@query()
+def op8_token_counts(spark, folder):
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    return token_counts.count(docs, vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
