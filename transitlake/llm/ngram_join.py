@@ -14,6 +14,9 @@
    set's component already. So a block of near copies costs one walk, not all pairs.
 5. A block over ``CHUNK`` n-grams is split, with its leader in each part. Sets that did not
    join the leader's component then meet every other part in a second pass.
+
+Both sides of all these joins grow with the data: by hint they are merge joins at every
+size, never broadcasts, and adaptive execution splits their hot keys.
 """
 
 from __future__ import annotations
@@ -215,28 +218,28 @@ def links_between(sets: DataFrame, percent: int, chunk: int) -> DataFrame:
     held = held.withColumnRenamed("_gram", "_g")
     # one number orders n-grams by the magnitude of their frequency, then by hash
     rank = F.shiftleft(F.floor(F.log2("_df")).cast("long"), 56).bitwiseOR(F.col("_gram").bitwiseAND(F.lit((1 << 56) - 1)))
-    ranked = grams.join(held, F.col("_gram") == F.col("_g")).select("_class", rank.alias("_rank"))
+    ranked = grams.join(held.hint("merge"), F.col("_gram") == F.col("_g")).select("_class", rank.alias("_rank"))
     ordered = ranked.groupBy("_class").agg(F.array_sort(F.collect_set("_rank")).alias("_ordered"))
     sized = sets.select(F.col("_class").alias("_c"), "_n")
-    ordered = ordered.join(sized, F.col("_class") == F.col("_c")).drop("_c")
+    ordered = ordered.join(sized.hint("merge"), F.col("_class") == F.col("_c")).drop("_c")
     alone = F.col("_n") - F.size("_ordered")
     first = F.col("_n") - least_shared(F.col("_n"), percent) + 1 - alone
     ordered = stored(ordered.withColumn("_first", first.cast("int")).where(F.col("_first") > 0))
     prefix = ordered.select("_class", F.explode(F.slice("_ordered", 1, F.col("_first"))).alias("_rank"))
     leaders = prefix.groupBy("_rank").agg(F.min("_class").alias("_block"), F.count("*").alias("_k")).where(F.col("_k") > 1)
     leaders = leaders.select(F.col("_rank").alias("_r"), "_block")
-    met = prefix.join(leaders, F.col("_rank") == F.col("_r")).select("_block", "_class").distinct()
+    met = prefix.join(leaders.hint("merge"), F.col("_rank") == F.col("_r")).select("_block", "_class").distinct()
     weights = ordered.select(F.col("_class").alias("_c"), F.size("_ordered").alias("_w"))
-    met = stored(met.join(weights, F.col("_class") == F.col("_c")).drop("_c"))
+    met = stored(met.join(weights.hint("merge"), F.col("_class") == F.col("_c")).drop("_c"))
     parts = met.groupBy(F.col("_block").alias("_b")).agg(F.ceil(F.sum("_w") / chunk).cast("int").alias("_parts"))
-    split = met.join(parts, F.col("_block") == F.col("_b")).drop("_b")
+    split = met.join(parts.hint("merge"), F.col("_block") == F.col("_b")).drop("_b")
     mine = F.pmod(F.xxhash64("_class"), F.col("_parts")).cast("int")
     leads = F.col("_class") == F.col("_block")
     split = stored(split.withColumn("_mine", mine))
     every = F.when(leads, F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array("_mine"))
     spread = split.select("_block", "_class", F.explode(every).alias("_part")).withColumn("_label", F.col("_class"))
     full = ordered.select(F.col("_class").alias("_c"), "_n", "_ordered")
-    with_sets = lambda rows: rows.join(full, F.col("_class") == F.col("_c")).drop("_c")
+    with_sets = lambda rows: rows.join(full.hint("merge"), F.col("_class") == F.col("_c")).drop("_c")
     links = stored(block_links(with_sets(spread), percent))
     large = split.where(F.col("_parts") > 1)
     if large.isEmpty():
@@ -273,15 +276,16 @@ def rooted_rows(df: DataFrame, id: str, text: str, n: int, percent: int, chunk:
     spare = F.col("_n") - least_shared(F.col("_n"), percent)
     # a set needs room for a partner that differs: one n-gram less, or one more
     room = (F.col("_n") * 100 >= percent * (F.col("_n") + 1)) | (spare >= 1)
-    able = classes.where(room).join(alone, F.col("_class") == F.col("_c"), "left")
+    able = classes.where(room).join(alone.hint("merge"), F.col("_class") == F.col("_c"), "left")
     able = stored(able.where(F.coalesce("_alone", F.lit(0)) <= spare).select("_class", "_id"))
     texts = df.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    texts = texts.join(able.select(F.col("_id").alias("_rep")).distinct(), F.col("_id") == F.col("_rep"), "left_semi")
+    able_ids = able.select(F.col("_id").alias("_rep"))
+    texts = texts.join(able_ids.hint("merge"), F.col("_id") == F.col("_rep"), "left_semi")
     sets = hashed_sets(texts, "_id", "_text", n, whole=True)
     wanted = able.select(F.col("_class").alias("_c"), F.col("_id").alias("_rep"))
-    sets = sets.join(wanted, (F.col("_class") == F.col("_c")) & (F.col("_id") == F.col("_rep")), "left_semi")
+    sets = sets.join(wanted.hint("merge"), (F.col("_class") == F.col("_c")) & (F.col("_id") == F.col("_rep")), "left_semi")
     roots = links_between(stored(sets.select("_class", "_n", "_grams").dropDuplicates(["_class"])), percent, chunk)
-    rooted = hashed.drop("_grams").join(roots, F.col("_class") == F.col("vertex"), "left")
+    rooted = hashed.drop("_grams").join(roots.hint("merge"), F.col("_class") == F.col("vertex"), "left")
     mark = F.when(F.col("_id").isNotNull(), F.coalesce("root", "_class"))
     return rooted.select("_id", "_content", "_n", "_class", mark.alias("_root"))
 
@@ -301,7 +305,7 @@ def join_components(
     member = F.col("_root").isNotNull()
     least = rooted.where(member).groupBy(F.col("_root").alias("_r")).agg(F.min("_id").alias("_least"))
     # rows without a class need no partner and no place in the join
-    joined = rooted.where(member).join(least, F.col("_root") == F.col("_r"))
+    joined = rooted.where(member).join(least.hint("merge"), F.col("_root") == F.col("_r"))
     bare = rooted.where(~member).withColumn("_least", F.when(F.col("_class").isNull(), F.col("_id")))
     columns = [F.col("_id").alias(id), F.col("_n").alias("n_shingles"), F.col("_least").alias("component_id")]
     return joined.select(*columns).unionByName(bare.select(*columns))
@@ -320,5 +324,5 @@ def one_of_each(
     best = best.unionByName(empty)
     marked = df.withColumn("_own", F.xxhash64(text))
     same = (F.col(f"`{id}`").cast("long") == F.col("_id")) & (F.col("_own") == F.col("_content"))
-    kept = marked.where(F.col(f"`{id}`").isNotNull()).join(best, same).dropDuplicates(["_id", "_content"])
+    kept = marked.where(F.col(f"`{id}`").isNotNull()).join(best.hint("merge"), same).dropDuplicates(["_id", "_content"])
     return kept.select(*df.columns).unionByName(df.where(F.col(f"`{id}`").isNull()))
