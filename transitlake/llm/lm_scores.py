@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,18 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 BLOCKS = "block long, ids array<long>, n_words array<int>, words long, codes binary, vocabulary binary"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Compressed bytes: codes are mostly small, and steps between sorted hashes leave their
+    high bytes empty, which Spark's own shuffle compression does not find."""
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+
+
+def unpacked(cell: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), kind)
+
+
 def blocks_of(df: DataFrame, id: str, text: str, block_words: int) -> DataFrame:
-    """One row per block; ``codes`` and ``vocabulary`` are arrays of int32 and uint64 hashes."""
+    """One row per block; ``codes`` are packed int32, ``vocabulary`` holds uint64 hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, number = TaskContext.get().partitionId() << 32, 0
@@ -46,7 +57,7 @@ def blocks_of(df: DataFrame, id: str, text: str, block_words: int) -> DataFrame:
             renamed = np.empty(len(known), np.int32)
             renamed[order] = np.arange(len(known), dtype=np.int32)
             hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[order]
-            cells = [[place + number], [ids], [lengths], [len(flat)], [renamed[flat].tobytes()], [hashed.tobytes()]]
+            cells = [[place + number], [ids], [lengths], [len(flat)], [packed(renamed[flat])], [hashed.tobytes()]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
             names = ["block", "ids", "n_words", "words", "codes", "vocabulary"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=names)
@@ -85,7 +96,7 @@ def opened(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, and each document's first word and length."""
     lengths = np.array(block["n_words"], dtype=np.int64)
     starts = np.cumsum(lengths) - lengths
-    hashed = np.frombuffer(block["vocabulary"], np.uint64)[np.frombuffer(block["codes"], np.int32)]
+    hashed = np.frombuffer(block["vocabulary"], np.uint64)[unpacked(block["codes"], np.int32)]
     return hashed, starts, lengths
 
 
@@ -121,12 +132,12 @@ def score(
                     kept = grams > 0
                     grams, counts = grams[kept], counts[kept].astype(np.uint32)
                     cuts = [*np.searchsorted(grams, bounds).tolist(), len(grams)]
-                    made = [(n, p, block["block"], grams[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                    made = [(n, p, block["block"], packed(np.diff(grams[a:b], prepend=np.uint64(0))), packed(counts[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                     yield pd.DataFrame(made, columns=["order", "part", "block", "grams", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]])
+        grams = [np.cumsum(unpacked(g, np.uint64), dtype=np.uint64) for g in rows["grams"]]
+        counts = np.concatenate([unpacked(c, np.uint32) for c in rows["counts"]])
         _, place = np.unique(np.concatenate(grams), return_inverse=True)
         totals = np.bincount(place, weights=counts).astype(np.uint64)[place]
         cuts = np.cumsum([len(g) for g in grams])[:-1]
@@ -134,7 +145,7 @@ def score(
         shown = [t.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(t) or t.max() <= np.iinfo(k).max)) for t in np.split(totals, cuts)]
         return pd.DataFrame({
             "order": rows["order"], "part": rows["part"], "block": rows["block"],
-            "width": [t.itemsize for t in shown], "totals": [t.tobytes() for t in shown],
+            "width": [t.itemsize for t in shown], "totals": [packed(t) for t in shown],
         })
 
     def finish(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +161,7 @@ def score(
         counts = {}
         for n in range(1, order + 1):
             mine = answers[answers["order"] == n]
-            totals = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(t, f"u{w}").astype(np.int64) for t, w in zip(mine["totals"], mine["width"]))])
+            totals = np.concatenate([np.zeros(0, np.int64), *(unpacked(t, f"u{w}").astype(np.int64) for t, w in zip(mine["totals"], mine["width"]))])
             grams = gram_hashes(hashed, starts, n)
             unique, place = np.unique(grams, return_inverse=True)
             totals = np.concatenate([np.zeros(int(len(unique) and unique[0] == 0), np.int64), totals])
