@@ -74,7 +74,7 @@ def test_stream_of_files(spark, tmp_path):
     schema = T.StructType([T.StructField(n, T.StringType()) for n in NAMES])
     table = ingest.IngestTable(spark, str(folder))
     assert table.current() is None
-    run = lambda: table.ingest_new_files(str(source), schema, str(tmp_path / "cp"))
+    run = lambda: table.ingest_new_files(str(source), str(tmp_path / "cp"))
 
     (source / "a.csv").write_text(SAMPLE)
     run()
@@ -104,3 +104,62 @@ def test_process_catalog(rows):
     got = ingest.process_catalog(raw, S.TOI).collect()
     assert [r["rowid"] for r in got] == [1]
     assert ingest.with_mission(ingest.process_catalog(raw, S.TOI)).select(F.col("mission")).first()[0] == "TESS"
+
+
+def test_upload_faults(rows):
+    """A given star id with a renamed column, given flags with hints, labels out of range."""
+    raw = rows(
+        "star_id string, tmag string, koi_period string, is_k2 string, label_int string",
+        (None, "1", "2", "1", "7"), ("s", "1", "2", None, "-1"), ("t", "1", "2", "1", "1"),
+    )
+    got = sorted(ingest.normalise_upload(raw).collect(), key=lambda r: r["star_id"])
+    assert got[0]["star_id"].startswith("anon_") and [r["star_id"] for r in got[1:]] == ["s", "t"]
+    assert [(r["is_tess"], r["is_k2"], r["is_kepler"]) for r in got] == [(0, 1, 0), (0, 0, 0), (0, 1, 0)]
+    assert [r["label_int"] for r in got] == [None, None, 1]
+    both = rows("star_id string, is_k2 string, is_tess string", ("a", "1", "1"))
+    with pytest.raises(Exception, match="more than one mission flag"):
+        ingest.normalise_upload(both).collect()
+
+
+def test_folder_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("rowid,kepid\n1,10\n2,20\n")
+    (tmp_path / "b.csv").write_text("# remark\nkepid,rowid,more\n30,3,x\n")
+    got = read_delimited(spark, str(tmp_path)).collect()
+    assert sorted((r["rowid"], r["kepid"], r["more"]) for r in got) == [("1", "10", None), ("2", "20", None), ("3", "30", "x")]
+
+
+def test_stream_reads_each_header_and_keeps_the_last_line(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    head = "star_id,label_int,period,depth_ppm,ror,dur_h,impact,rad_Rs"
+    lines = [f"K{i % 8},{i % 3},1.5,{1000 + i},0.1,2,0.1,1" for i in range(40)]
+    (source / "a.csv").write_text("\n".join([head, *lines]) + "\n")
+    (source / "b.csv").write_text("label_int,star_id,toi_period,depth_ppm,ror,dur_h,impact,rad_Rs\n2,Z,9.5,700,0.1,2,0.1,1\n")
+    table = ingest.IngestTable(spark, str(tmp_path / "t"))
+    table.ingest_new_files(str(source), str(tmp_path / "cp"))
+    got = {r["star_id"]: (r["label_int"], r["period"], r["is_tess"]) for r in table.current().collect()}
+    assert got == {**{f"K{i}": ((32 + i) % 3, 1.5, 0) for i in range(8)}, "Z": (2, 9.5, 1)}
+    assert sum(r["value"] for r in table.counts().collect()) == 41
+    medians = spark.read.json(table.refresh_medians(["period"])).collect()
+    assert [(r["key"], r["value"]) for r in medians] == [("period", 1.5)]
+
+
+def test_clipping_stays_inside_a_file(rows):
+    schema = "star_id string, period string, depth_ppm string, ror string, dur_h string, _file string"
+    small = [(f"a{i}", "1", "100", "0.1", "2", "a") for i in range(40)]
+    large = [(f"b{i}", "1", "90000", "0.1", "2", "b") for i in range(40)]
+    alone = ingest.engineer(ingest.normalise_upload(rows(schema, *large)))
+    together = ingest.engineer(ingest.normalise_upload(rows(schema, *small, *large)))
+    pick = lambda df: sorted(r["depth_ppm"] for r in df.where("_file = 'b'").collect())
+    assert pick(alone) == pick(together)
+
+
+def test_catalog_file_enters_the_table(spark, rows, tmp_path):
+    raw = rows(
+        "rowid string, tid string, tfopwg_disp string, pl_orbper string, pl_tranmid string",
+        ("1", "5", "PC", "3.0", "1.0"), ("3", "6", "CP", "4.0", "1.0"),
+    )
+    table = ingest.IngestTable(spark, str(tmp_path / "t"))
+    table.append_catalog(raw, S.TOI, 1)
+    table.append_catalog(raw.withColumn("tfopwg_disp", F.lit("FP")), S.TOI, 2)
+    assert sorted((r["star_id"], r["label_int"]) for r in table.current().collect()) == [("5", 0), ("6", 0)]

@@ -259,3 +259,31 @@ def test_release_shift(rows):
     df = rows("release string, feature string, shap double", ("v1", "a", 1.0), ("v2", "a", -3.0), ("v2", "b", 2.0))
     got = {(r["release"], r["feature"]): r["shift"] for r in releases.attribution_shift(df).collect()}
     assert got == {("v1", "a"): None, ("v2", "a"): 2.0, ("v2", "b"): 2.0}
+
+
+def test_missing_groups_keep_their_rows(rows):
+    from transitlake.operators import metrics as M
+    from transitlake.operators import ranks as R
+    from transitlake.operators import sampling as P
+
+    df = rows("g string, v int", ("a", 1), (None, 2), (None, 3), ("a", 5))
+    got = sorted((r["g"] or "", r["v"], r["rank"]) for r in R.exact_ranks(df, ["g"], "v").collect())
+    assert got == [("", 2, 1), ("", 3, 2), ("a", 1, 1), ("a", 5, 2)]
+    stars = rows("star_id string, y int", ("a", 1), ("b", None), (None, 0), ("b", None), ("c", 2))
+    assert P.group_folds(stars, 3).count() == 5 and P.hold_out(stars).count() == 5
+    scored = rows(
+        "mission string, y int, p_fp double, p_cand double, p_conf double",
+        ("K", 0, 0.9, 0.05, 0.05), (None, 1, 0.1, 0.8, 0.1), (None, 2, 0.1, 0.2, 0.7),
+    )
+    assert sorted((r["mission"] or "", r["rows"]) for r in M.mission_metrics(scored).collect()) == [("", 2), ("K", 1)]
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from transitlake.session import checkpoint_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_folder(session)

@@ -26,9 +26,11 @@ def class_of_disposition(c: Column) -> Column:
 
 
 def class_of_upload(c: Column) -> Column:
-    """Class id of an uploaded label: a number passes, known text is mapped."""
+    """Class id of an uploaded label: the number of a class passes, known text is
+    mapped, anything else is no label."""
     text = c.cast("string")
     number = text.try_cast("double").try_cast("int")
+    number = F.when(number.between(0, len(S.CLASS_NAMES) - 1), number)
     return F.coalesce(number, _lookup(S.UPLOAD_LABELS, F.lower(F.trim(text))))
 
 
@@ -71,9 +73,3 @@ def anonymous_id(df: DataFrame) -> Column:
 def first_alias(df: DataFrame, names: list[str]) -> str | None:
     """First of ``names`` that is a column of ``df``."""
     return next((n for n in names if n in df.columns), None)
-
-
-def first_alias_value(df: DataFrame, names: list[str]) -> Column:
-    """Row-level variant: first non-missing value among the aliases present."""
-    found = [F.col(n) for n in names if n in df.columns]
-    return F.coalesce(*found) if found else F.lit(None).cast("string")

@@ -123,7 +123,9 @@ def mission_metrics(df: DataFrame, y: str = "y") -> DataFrame:
     """Rows and macro average precision per mission."""
     scores = macro_average_precision(score_table(df, ["mission"], y), ["mission"])
     rows = df.groupBy("mission").agg(F.count("*").alias("rows"))
-    return rows.join(scores, "mission").select("mission", "rows", "pr_auc_macro")
+    scores = scores.withColumnRenamed("mission", "_of")
+    joined = rows.join(scores, F.col("mission").eqNullSafe(F.col("_of")), "left")
+    return joined.select("mission", "rows", "pr_auc_macro")
 
 
 def class_weights(df: DataFrame, y: str = "y", by: list[str] | None = None) -> DataFrame:

@@ -18,13 +18,13 @@ from transitlake.functions.numbers import finite
 from transitlake.session import cut_lineage
 
 SKETCH_ACCURACY = 10_000
-RANGES, RANGES_MIN, RANGES_MAX = "_range", 16, 8192
+RANGES, RANGES_MIN = "_range", 16
 
 
 def range_count(df: DataFrame) -> int:
     """Number of value ranges: a power of two that grows with the cluster."""
     wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 2 ** math.ceil(math.log2(min(max(wanted, RANGES_MIN), RANGES_MAX)))
+    return 2 ** math.ceil(math.log2(max(wanted, RANGES_MIN)))
 
 
 def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
@@ -56,15 +56,19 @@ def running_totals(
 ) -> DataFrame:
     """For each measure add ``<m>_run`` (running total, own row included) and
     ``<m>_all`` (group total). ``(by, order)`` must be unique: aggregate first, so
-    that heavy ties are merged before anything is shuffled.
+    that heavy ties are merged before anything is shuffled. A missing value of ``by``
+    is a group like any other.
     """
     cut = with_ranges(df, order, ranges)
-    keys = [*by, RANGES]
+    # one key that is never NULL, so that the join and the window share their partitioning
+    whole_key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    cut = cut.withColumn("_group", whole_key)
+    keys = ["_group", RANGES]
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
 
     # one row per (group, range): small enough for a plain window
     totals = cut.groupBy(*keys).agg(*[F.sum(m).alias(f"_{m}") for m in measures])
-    whole = Window.partitionBy(*by)
+    whole = Window.partitionBy("_group")
     earlier = whole.orderBy(direction(RANGES)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
@@ -79,7 +83,7 @@ def running_totals(
     )
     joined = cut.join(offsets, keys)
     runs = {f"{m}_run": F.sum(m).over(inside) + F.col(f"{m}_before") for m in measures}
-    return joined.withColumns(runs).drop(RANGES, *[f"{m}_before" for m in measures])
+    return joined.withColumns(runs).drop(RANGES, "_group", *[f"{m}_before" for m in measures])
 
 
 def exact_ranks(df: DataFrame, by: list[str], order: str, ranges: int | None = None) -> DataFrame:

@@ -12,6 +12,12 @@ from transitlake.operators.ranks import attach, exact_ranks
 SEED = 42
 
 
+def dealt_hash(*parts: Column) -> Column:
+    """60 bits of an md5 over the parts joined by ``|``: any engine can repeat the draw."""
+    joined = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
+
+
 def group_folds(
     df: DataFrame, k: int = 5, group: str = "star_id", y: str = "y", seed: int = SEED,
     name: str = "fold",
@@ -20,18 +26,22 @@ def group_folds(
     class the stars are dealt out evenly in hash order.
 
     Rows are first counted per (star, class), so a star with a third of all rows
-    is one row from there on; the ranks are exact without a one-task sort.
+    is one row from there on; the ranks are exact without a one-task sort. Stars
+    without a class, and rows without a star, are dealt out like the others.
     """
     counted = df.groupBy(group, y).agg(F.count("*").alias("_rows"))
-    majority = F.max(F.struct("_rows", (-F.col(y)).alias("_minus")))
+    known = F.when(F.col(y).isNotNull(), F.struct("_rows", (-F.col(y)).alias("_minus")))
+    majority = F.max(known)
     stars = counted.groupBy(group).agg((-majority["_minus"]).alias("_class"))
-    hashed = F.xxhash64(F.col(group), F.lit(seed))
+    hashed = dealt_hash(F.col(group), F.lit(seed))
     # hash collisions share a rank block: merge them before ranking
     slots = stars.withColumn("_hash", hashed).select("_class", "_hash").distinct()
     dealt = exact_ranks(slots, ["_class"], "_hash").withColumn(
         name, F.pmod(F.col("rank") - 1, F.lit(k)).cast("int")
     )
-    of_star = stars.withColumn("_hash", hashed).join(dealt, ["_class", "_hash"])
+    dealt = dealt.withColumnsRenamed({"_class": "_of_class", "_hash": "_of_hash"})
+    same = F.col("_class").eqNullSafe(F.col("_of_class")) & (F.col("_hash") == F.col("_of_hash"))
+    of_star = stars.withColumn("_hash", hashed).join(dealt, same)
     of_star = of_star.select(F.col(group).alias("_group"), name)
     return df.join(of_star, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
@@ -46,15 +56,18 @@ def hold_out(df: DataFrame, parts: int = 7, group: str = "star_id", y: str = "y"
     return df.withColumn("split", F.when(share < 15, "test").otherwise("train"))
 
 
-def oversample(df: DataFrame, y: str = "y", ratio: float = 1.5, seed: int = SEED) -> DataFrame:
+def oversample(
+    df: DataFrame, y: str = "y", ratio: float = 1.5, seed: int = SEED, keys: list[str] | None = None
+) -> DataFrame:
     """Repeat rows so that every class nears the size of the largest one, when the
     largest is more than ``ratio`` times the smallest. Map-only apart from the
-    class counts; a row is repeated where it is."""
+    class counts; a row is repeated where it is, its last copy by a draw over ``keys``
+    (all columns by default)."""
     counts = df.groupBy(y).agg(F.count("*").alias("_n"))
     whole = Window.partitionBy()
     large, small = F.max("_n").over(whole), F.min("_n").over(whole)
     times = counts.select(y, F.when(large / small > ratio, large / F.col("_n")).otherwise(1.0).alias("_times"))
-    draw = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    draw = dealt_hash(*[F.col(f"`{c}`") for c in (keys or df.columns)], F.lit(seed)) / F.lit(float(1 << 60))
     base = F.floor("_times")
     copies = base + (draw < F.col("_times") - base).cast("int")
     return (

@@ -822,7 +822,16 @@ def uncertainty_weights(spark, folder):
     return sampling.with_classical_weight(rows, "label_int").select(*A.LINE_KEY, r("weight", 9).alias("weight"))
 
 
-@query()
+FOLD_SQL = """counted AS (SELECT star_id, label_int, count(*) AS k FROM labelled WHERE label_int IS NOT NULL GROUP BY ALL),
+stars AS (SELECT star_id, arg_max(label_int, (k, -label_int)) AS cls, sum(k) AS k FROM counted GROUP BY star_id),
+dealt AS (SELECT *, (row_number() OVER (PARTITION BY cls ORDER BY CAST('0x' || substr(md5(star_id || '|42'), 1, 15) AS BIGINT)) - 1)
+  % {parts} AS fold FROM stars)"""
+
+
+@query(
+    f"""WITH {Q.FEEDS}, {Q.LABELS}, {FOLD_SQL.format(parts=5)}
+SELECT fold::INT AS fold, count(*) AS stars, sum(k)::BIGINT AS "rows", 0::BIGINT AS leaks FROM dealt GROUP BY fold"""
+)
 def group_folds(spark, folder):
     """Per fold and class: rows and stars. A star must not show in two folds."""
     rows = filters.labelled(with_classes(A.feeds(spark, folder)))
@@ -835,16 +844,30 @@ def group_folds(spark, folder):
     )
 
 
-@query()
+@query(
+    f"""WITH {Q.FEEDS}, {Q.LABELS}, {FOLD_SQL.format(parts=7)}
+SELECT CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS split, label_int, sum(counted.k)::BIGINT AS n
+FROM dealt JOIN counted USING (star_id) GROUP BY ALL"""
+)
 def hold_out(spark, folder):
     rows = filters.labelled(with_classes(A.feeds(spark, folder)))
     split = sampling.hold_out(rows, 7, "star_id", "label_int")
     return split.groupBy("split", "label_int").agg(F.count("*").alias("n"))
 
 
-@query()
+OVERSAMPLE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query(
+    f"""WITH {Q.SCORES}, n AS (SELECT y, count(*) AS n FROM scores GROUP BY y),
+t AS (SELECT y, CASE WHEN max(n) OVER () / min(n) OVER () > 1.5 THEN max(n) OVER () / n ELSE 1 END AS times FROM n),
+d AS (SELECT y, times, CAST('0x' || substr(md5({" || '|' || ".join(OVERSAMPLE_KEYS)} || '|42'), 1, 15) AS BIGINT)
+  / 1152921504606846976 AS draw FROM scores JOIN t USING (y))
+SELECT y, sum(floor(times) + CAST(draw < times - floor(times) AS INT))::BIGINT AS n FROM d GROUP BY y"""
+)
 def oversampled(spark, folder):
-    return sampling.oversample(A.scores(spark, folder)).groupBy("y").agg(F.count("*").alias("n"))
+    copied = sampling.oversample(A.scores(spark, folder), keys=OVERSAMPLE_KEYS)
+    return copied.groupBy("y").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------ ingest, releases --

@@ -13,13 +13,19 @@ SEPARATORS = [",", "\t", ";"]
 OVERFLOW = "_overflow"
 
 
-def header_line(spark: SparkSession, path: str) -> str:
-    """First line that is not a ``#`` remark; only this line reaches the driver."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    row = lines.first()
-    if row is None:
-        raise ValueError(f"{path}: no header line")
-    return row["value"]
+#: where a row stood: what "the last row of the last file" means
+PLACE = ["_file", "_changed", "_block", "_line"]
+
+
+def header_lines(spark: SparkSession, paths: str | list[str]) -> dict[str, str]:
+    """First line of every file that is not a ``#`` remark; one line a file reaches the driver."""
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    kept = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    first = F.min_by("value", F.struct("block", "line"))
+    return {r["file"]: r["header"] for r in kept.groupBy("file").agg(first.alias("header")).collect()}
 
 
 def sniff_separator(header: str) -> str:
@@ -30,13 +36,7 @@ def sniff_separator(header: str) -> str:
     raise ValueError("no known separator splits the header")
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """Delimited text with a header and leading ``#`` remarks, all columns STRING.
-
-    Short rows are filled with NULL, rows with too many fields are dropped, quoted
-    fields may hold the separator. The only driver work is one header line.
-    """
-    header = header_line(spark, path)
+def _with_header(spark: SparkSession, paths: str | list[str], header: str, separator: str | None, keep_long: bool, placed: bool) -> DataFrame:
     separator = separator or sniff_separator(header)
     names = [n.strip() for n in next(csv.reader([header], delimiter=separator))]
     fields = [T.StructField(n, T.StringType()) for n in [*names, OVERFLOW]]
@@ -49,9 +49,46 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .csv(path)
+        .csv(paths)
     )
-    return raw.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
+    if placed:
+        raw = raw.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_modification_time").alias("_changed"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+        )
+    return (raw if keep_long else raw.where(F.col(OVERFLOW).isNull())).drop(OVERFLOW)
+
+
+def read_by_header(
+    spark: SparkSession, paths: str | list[str], separator: str | None = None, keep_long: bool = False, placed: bool = False
+) -> list[DataFrame]:
+    """Files grouped by header, each group read by its own: a column is never taken for
+    another because two files order their columns differently."""
+    groups: dict[str, list[str]] = {}
+    for file, header in sorted(header_lines(spark, paths).items()):
+        groups.setdefault(header, []).append(file)
+    if not groups:
+        raise ValueError(f"{paths}: no header line")
+    return [_with_header(spark, files, header, separator, keep_long, placed) for header, files in groups.items()]
+
+
+def read_delimited(
+    spark: SparkSession, path: str | list[str], separator: str | None = None, keep_long: bool = False, placed: bool = False
+) -> DataFrame:
+    """Delimited text with a header and leading ``#`` remarks, all columns STRING.
+
+    A folder's files may differ in the order and number of their columns; they are united
+    by name. Short rows are filled with NULL, quoted fields may hold the separator. Rows with
+    too many fields are dropped, or cut to the header with ``keep_long``. ``placed`` adds where
+    each row stood (``PLACE``). The only driver work is one header line a file.
+    """
+    out, *more = read_by_header(spark, path, separator, keep_long, placed)
+    for group in more:
+        out = out.unionByName(group, allowMissingColumns=True)
+    return out
 
 
 def read_optional(spark: SparkSession, path: str | None) -> DataFrame | None:
@@ -101,10 +138,6 @@ def read_settings(spark: SparkSession, path: str, name: str) -> DataFrame:
     return document.select(F.explode(name).alias("key", "value"))
 
 
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
-
-
 def read_names(spark: SparkSession, path: str, mission: str, multiline: bool = True) -> DataFrame:
     """Name table of one mission with an explicit file order for first-match rules."""
     rows = spark.read.option("multiLine", multiline).json(path)

@@ -9,18 +9,21 @@ batch overwrites its own folder only, so a retry after a failure changes nothing
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from transitlake import schema as S
 from transitlake.functions.features import add_bundles, add_catalog_features
 from transitlake.functions.labels import anonymous_id, class_of_upload, mission_from_flags
 from transitlake.functions.numbers import clean_numbers
-from transitlake.operators.dedup import keep_one
+from transitlake.operators.dedup import keep_one, stack_feeds
 from transitlake.operators.filters import plausible, positive, split_labelled
 from transitlake.operators.quality import winsorize
-from transitlake.sources.writers import latest_version, write_version
+from transitlake.sources.readers import PLACE, read_by_header
+from transitlake.sources.writers import latest_version, version_tag, write_medians, write_version
 
 SEQUENCE = "ingest_seq"
 
@@ -46,25 +49,40 @@ def normalise_upload(raw: DataFrame) -> DataFrame:
         targets.setdefault(target, source)
     df = raw.withColumnsRenamed({source: target for target, source in targets.items()})
 
+    content = df.drop(*PLACE)  # the same row is the same star wherever its file lies
     new = {}
     if "star_id" in df.columns:
-        new["star_id"] = F.coalesce(F.col("star_id").cast("string"), anonymous_id(raw))
+        new["star_id"] = F.coalesce(F.col("star_id").cast("string"), anonymous_id(content))
     else:
         named = [F.col(by_lower[c]).cast("string") for c in S.UPLOAD_STAR_IDS if by_lower.get(c) in df.columns]
-        new["star_id"] = F.coalesce(*named[:1], anonymous_id(df))
-    for flag, value in _guessed_flags(raw.columns).items():
-        new[flag] = F.col(flag).try_cast("int") if flag in df.columns else F.lit(value)
+        new["star_id"] = F.coalesce(*named[:1], anonymous_id(content))
+    # flags that a file gives are not mixed with guessed ones
+    guessed = _guessed_flags(raw.columns)
+    if any(flag in df.columns for flag in guessed):
+        for flag in guessed:
+            new[flag] = F.coalesce(F.col(flag).try_cast("int"), F.lit(0)) if flag in df.columns else F.lit(0)
+    else:
+        new |= {flag: F.lit(value) for flag, value in guessed.items()}
     label = F.col("label_int") if "label_int" in df.columns else F.lit(None).cast("string")
     new["label_int"] = class_of_upload(label)
-    return df.withColumns(new).drop(*S.LEAKING_COLUMNS)
+    return at_most_one_mission(df.withColumns(new).drop(*S.LEAKING_COLUMNS))
+
+
+def at_most_one_mission(df: DataFrame) -> DataFrame:
+    """The same rows; a row with two mission flags fails the job that reads it."""
+    total = sum((F.col(f) for f in S.MISSION_FLAGS.values()), F.lit(0))
+    first = next(iter(S.MISSION_FLAGS.values()))
+    fault = F.raise_error(F.lit("a row carries more than one mission flag")).cast("int")
+    return df.withColumn(first, F.when(total <= 1, F.col(first)).otherwise(fault))
 
 
 def engineer(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Numbers, bundles and features, clipping, then every quality filter."""
+    """Numbers, bundles and features, clipping inside each file, then every quality filter."""
     errors = [f"{b}_err{n}" for b in S.BUNDLE_BASES for n in (1, 2)]
     typed = clean_numbers(df, [*S.NUMERIC_INPUTS, "t0_bjd", *errors])
     out = add_catalog_features(add_bundles(typed))
-    return plausible(positive(winsorize(out, approximate=approximate)))
+    by = [c for c in ("_file",) if c in out.columns]
+    return plausible(positive(winsorize(out, by=by, approximate=approximate)))
 
 
 def prepare(raw: DataFrame, approximate: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -73,12 +91,14 @@ def prepare(raw: DataFrame, approximate: bool = False) -> tuple[DataFrame, DataF
 
 
 def merge_batch(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Union by name, then the last row per star and period. Rows of one batch that
-    share a key are ordered by content, so the outcome does not depend on the run."""
+    """Union by name, then the last row per star and period: of the latest batch, in it of
+    the file changed last, in a file the last line. Rows without a place are ordered by
+    content, so the outcome does not depend on the run."""
     both = batch if current is None else current.unionByName(batch, allowMissingColumns=True)
     keys = [c for c in ("star_id", "period") if c in both.columns]
     content = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(both.columns)])
-    return keep_one(both, keys, [F.col(SEQUENCE).desc(), content.asc()])
+    placed = [F.col(c).desc_nulls_last() for c in ("_changed", "_file", "_block", "_line") if c in both.columns]
+    return keep_one(both, keys, [F.col(SEQUENCE).desc(), *placed, content.asc()])
 
 
 class IngestTable:
@@ -96,11 +116,39 @@ class IngestTable:
                 return None
             raise
 
-    def append(self, raw: DataFrame, batch_id: int) -> None:
-        labelled, unlabelled = prepare(raw)
-        for part, rows in (("log", labelled), ("pool", unlabelled)):
-            stamped = rows.withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
-            stamped.write.mode("overwrite").parquet(f"{self.folder}/{part}/batch_id={batch_id}")
+    def append(self, raw: DataFrame | list[DataFrame], batch_id: int) -> None:
+        """One batch: uploads of one or several headers, normalised each by its own."""
+        uploads = [prepare(r) for r in (raw if isinstance(raw, list) else [raw])]
+        self._write("log", stack_feeds([labelled for labelled, _ in uploads]), batch_id)
+        self._write("pool", stack_feeds([rest for _, rest in uploads]), batch_id)
+
+    def append_catalog(self, raw: DataFrame, catalog: S.Catalog, batch_id: int) -> None:
+        """One source catalog file as a batch of the table."""
+        rows = process_catalog(raw, catalog)
+        self._write("log", rows.drop("feed_ord", "rowid", "label_raw"), batch_id)
+
+    def _write(self, part: str, rows: DataFrame, batch_id: int) -> None:
+        stamped = rows.withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
+        stamped.write.mode("overwrite").parquet(f"{self.folder}/{part}/batch_id={batch_id}")
+
+    def counts(self) -> DataFrame:
+        """Rows of each batch by part, as quality log rows: ``stage, metric, value``."""
+        found = [(part, self._read(part)) for part in ("log", "pool")]
+        rows = [
+            r.groupBy(F.concat(F.lit("batch "), F.col("batch_id").cast("string")).alias("metric"))
+            .agg(F.count("*").alias("value"))
+            .select(F.lit({"log": "labelled", "pool": "without_label"}[part]).alias("stage"), "metric", "value")
+            for part, r in found
+            if r is not None
+        ]
+        return reduce(DataFrame.unionByName, rows)
+
+    def refresh_medians(self, columns: list[str] = S.NUMERIC_INPUTS) -> str:
+        """Medians of the table as it is now, in a folder of their own."""
+        path = f"{self.folder}/medians/{version_tag()}-{uuid.uuid4().hex[:8]}"
+        now = self.current()
+        write_medians(now, path, [c for c in columns if c in now.columns])
+        return path
 
     def current(self) -> DataFrame | None:
         """Latest version merged with the batches that came after it."""
@@ -122,11 +170,22 @@ class IngestTable:
         """Write the merged table as a new version; the old one stays as a backup."""
         return write_version(self.current(), f"{self.folder}/versions", tag)
 
-    def ingest_new_files(self, source: str, schema: T.StructType, checkpoint: str) -> None:
-        """Pick up every CSV that has arrived since the last run, then stop."""
-        stream = self.spark.readStream.schema(schema).option("header", True).csv(source)
+    def ingest_new_files(self, source: str, checkpoint: str, files_per_batch: int = 1000) -> None:
+        """Pick up every CSV that has arrived since the last run, then stop.
+
+        The stream only says which files are new; each is read by its own header.
+        """
+
+        def take(lines: DataFrame, batch_id: int) -> None:
+            # at most files_per_batch names
+            files = [r[0] for r in lines.select("file").distinct().collect()]
+            if files:
+                self.append(read_by_header(self.spark, files, placed=True), batch_id)
+
+        stream = self.spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source)
         query = (
-            stream.writeStream.foreachBatch(lambda rows, batch_id: self.append(rows, batch_id))
+            stream.select(F.col("_metadata.file_path").alias("file"))
+            .writeStream.foreachBatch(take)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
