@@ -123,9 +123,10 @@ def catalog_features(spark, folder):
     return featured(spark, folder).select(*A.LINE_KEY, *rounded(*CATALOG_FEATURES), "ecc_flag", "high_b")
 
 
-PHYSICS_SQL = f"""WITH {Q.FEEDS}, {Q.LABELS}, {Q.BUNDLES}, {Q.FEATURES},
-m AS (SELECT *, coalesce(mass_Ms, pow(10::DOUBLE, logg_cgs) * 0.01::DOUBLE * pow(rad_Rs * {S.SUN_RADIUS!r}::DOUBLE, 2)
-        / {S.GRAVITY!r}::DOUBLE / {S.SUN_MASS!r}::DOUBLE) AS mass, rad_Rs * {S.SUN_RADIUS!r}::DOUBLE AS rm FROM featured),
+def physics_steps(source: str) -> str:
+    """Steps that end in ``q``: the physical columns beside those of ``source``."""
+    return f"""m AS (SELECT *, coalesce(mass_Ms, pow(10::DOUBLE, logg_cgs) * 0.01::DOUBLE * pow(rad_Rs * {S.SUN_RADIUS!r}::DOUBLE, 2)
+        / {S.GRAVITY!r}::DOUBLE / {S.SUN_MASS!r}::DOUBLE) AS mass, rad_Rs * {S.SUN_RADIUS!r}::DOUBLE AS rm FROM {source}),
 o AS (SELECT *, cbrt({S.GRAVITY!r}::DOUBLE * {S.SUN_MASS!r}::DOUBLE / (4 * pi() * pi()) * mass
         * pow(period * 86400, 2)) AS am FROM m),
 p AS (SELECT *, 3 * {S.SUN_MASS!r}::DOUBLE * mass / (4 * pi() * pow(rm, 3)) * 1e-3 AS rho_star_cgs,
@@ -142,22 +143,25 @@ q AS (SELECT *, abs(a_over_rs - a_over_rs_phys) / a_over_rs_phys AS a_over_rs_co
         coalesce(eqt_K, Teq_phys_K) AS eqt_filled,
         CASE WHEN pm_tot > 0 THEN mag_T + 5 * log10(pm_tot / 1000) + 5 END AS H_G,
         CASE WHEN pm_tot > 0 THEN mag_Kepler + 5 * log10(pm_tot / 1000) + 5 END AS H_K,
-        coalesce(Rp_Re_from_ror, rade_Re) AS rp FROM p)
-SELECT {Q.ALLKEYS}, {{columns}},
-       CAST(coalesce(logg_cgs < 3.8::DOUBLE, false) OR coalesce(pm_tot < 3, false) AS INT) AS giant_flag,
+        coalesce(Rp_Re_from_ror, rade_Re) AS rp FROM p)"""
+
+
+PHYSICS_FLAGS_SQL = """CAST(coalesce(logg_cgs < 3.8::DOUBLE, false) OR coalesce(pm_tot < 3, false) AS INT) AS giant_flag,
        coalesce(CAST(log10(rp) < 0.26::DOUBLE + 0.11::DOUBLE * log10(insol_S) AS INT), 0) AS valley_flag,
        coalesce(CAST(geom_transit_prob < 0.005::DOUBLE AS INT), 0) AS low_prob_flag,
        coalesce(CAST(dur_consistency > 0.5 AS INT), 0) AS dur_outlier_flag,
        CAST(coalesce(dur_consistency > 1, false) OR coalesce(geom_transit_prob < 0.001::DOUBLE, false) AS INT)
-         AS physics_veto_flag
-FROM q"""
+         AS physics_veto_flag"""
 PHYSICS_OUT = [
     "rho_star_cgs", "a_AU", "a_over_rs_phys", "a_over_rs_consistency", "Rp_Re_from_ror",
     "geom_transit_prob", "Teq_phys_K", "dur_model_h", "dur_consistency", "H_G", "H_K",
 ]
 
 
-@query(PHYSICS_SQL.format(columns=sql_rounded(*PHYSICS_OUT) + ", round(eqt_filled, 6) AS eqt_K"))
+@query(
+    f"""WITH {Q.FEEDS}, {Q.LABELS}, {Q.BUNDLES}, {Q.FEATURES}, {physics_steps("featured")}
+SELECT {Q.ALLKEYS}, {sql_rounded(*PHYSICS_OUT)}, round(eqt_filled, 6) AS eqt_K, {PHYSICS_FLAGS_SQL} FROM q"""
+)
 def physics_features(spark, folder):
     physical = add_physics(featured(spark, folder))
     flags = [*S.PHYSICS_FLAGS, "physics_veto_flag"]
@@ -289,17 +293,19 @@ bounds AS (SELECT mission AS m, {', '.join(f'quantile_cont({c}, [0.001, 0.999])
            FROM plausible GROUP BY mission),
 clipped AS (SELECT plausible.* REPLACE (
   {', '.join(f'CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, b_{c}[2]), b_{c}[1]) END AS {c}' for c in UNIFIED_CLIP)})
-  FROM plausible JOIN bounds ON mission = m)
+  FROM plausible JOIN bounds ON mission = m),
+single AS (SELECT * FROM clipped WHERE label_int IS NOT NULL QUALIFY {FIRST_SQL}), {physics_steps("single")}
 SELECT {Q.ALLKEYS}, mission, star_id, label, label_int, round(period, 6) AS period, {sql_rounded(*UNIFIED_OUT)},
        CAST(mission = 'Kepler' AS INT) AS is_kepler, CAST(mission = 'K2' AS INT) AS is_k2,
-       CAST(mission = 'TESS' AS INT) AS is_tess
-FROM clipped WHERE label_int IS NOT NULL QUALIFY {FIRST_SQL}"""
+       CAST(mission = 'TESS' AS INT) AS is_tess,
+       {sql_rounded(*PHYSICS_OUT)}, round(eqt_filled, 6) AS eqt_K, {PHYSICS_FLAGS_SQL}
+FROM q"""
 )
 def unified_table(spark, folder):
-    unified = unify(A.separate_feeds(spark, folder), physics=False, order=A.FEED_ORDER)
+    unified = unify(A.separate_feeds(spark, folder), order=A.FEED_ORDER)
     return unified.select(
         *A.LINE_KEY, "mission", "star_id", "label", "label_int", *rounded("period", *UNIFIED_OUT),
-        *S.MISSION_FLAGS.values(),
+        *S.MISSION_FLAGS.values(), *rounded(*PHYSICS_OUT, "eqt_K"), *S.PHYSICS_FLAGS, "physics_veto_flag",
     )
 
 
