@@ -211,8 +211,9 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def links_between(sets: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """``sets``: ``_class, _n, _grams``, a row per class. ``vertex, root`` of all classes
-    that have a link to another one."""
+    """``sets``: ``_class, _n, _grams``. ``vertex, root`` of all classes that have a link to
+    another one. A class has one row; more of them, from repeated rows, only raise frequencies
+    in the global order, which may be any."""
     grams = sets.select("_class", F.explode("_grams").alias("_gram"))
     held = grams.groupBy("_gram").agg(F.count("*").alias("_df")).where(F.col("_df") > 1)
     held = held.withColumnRenamed("_gram", "_g")
@@ -220,7 +221,7 @@ def links_between(sets: DataFrame, percent: int, chunk: int) -> DataFrame:
     rank = F.shiftleft(F.floor(F.log2("_df")).cast("long"), 56).bitwiseOR(F.col("_gram").bitwiseAND(F.lit((1 << 56) - 1)))
     ranked = grams.join(held.hint("merge"), F.col("_gram") == F.col("_g")).select("_class", rank.alias("_rank"))
     ordered = ranked.groupBy("_class").agg(F.array_sort(F.collect_set("_rank")).alias("_ordered"))
-    sized = sets.select(F.col("_class").alias("_c"), "_n")
+    sized = sets.select(F.col("_class").alias("_c"), "_n").distinct()
     ordered = ordered.join(sized.hint("merge"), F.col("_class") == F.col("_c")).drop("_c")
     alone = F.col("_n") - F.size("_ordered")
     first = F.col("_n") - least_shared(F.col("_n"), percent) + 1 - alone
@@ -272,19 +273,20 @@ def rooted_rows(df: DataFrame, id: str, text: str, n: int, percent: int, chunk:
     sampled = known.select("_class", F.explode("_grams").alias("_gram"))
     owners = sampled.groupBy("_gram").agg(F.min("_class").alias("_class"), F.max("_class").alias("_last"))
     alone = owners.where(F.col("_class") == F.col("_last")).groupBy(F.col("_class").alias("_c")).agg(F.count("*").alias("_alone"))
-    classes = known.groupBy("_class").agg(F.min("_id").alias("_id"), F.min("_n").alias("_n"))
+    # a class is read from one document: the smallest id, then the smallest content hash
+    first = F.min(F.struct("_id", "_content")).alias("_first")
+    classes = known.groupBy("_class").agg(first, F.min("_n").alias("_n"))
     spare = F.col("_n") - least_shared(F.col("_n"), percent)
     # a set needs room for a partner that differs: one n-gram less, or one more
     room = (F.col("_n") * 100 >= percent * (F.col("_n") + 1)) | (spare >= 1)
     able = classes.where(room).join(alone.hint("merge"), F.col("_class") == F.col("_c"), "left")
-    able = stored(able.where(F.coalesce("_alone", F.lit(0)) <= spare).select("_class", "_id"))
+    able = able.where(F.coalesce("_alone", F.lit(0)) <= spare)
+    able = stored(able.select(F.col("_first._id").alias("_rep"), F.col("_first._content").alias("_own")))
     texts = df.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    able_ids = able.select(F.col("_id").alias("_rep"))
-    texts = texts.join(able_ids.hint("merge"), F.col("_id") == F.col("_rep"), "left_semi")
-    sets = hashed_sets(texts, "_id", "_text", n, whole=True)
-    wanted = able.select(F.col("_class").alias("_c"), F.col("_id").alias("_rep"))
-    sets = sets.join(wanted.hint("merge"), (F.col("_class") == F.col("_c")) & (F.col("_id") == F.col("_rep")), "left_semi")
-    roots = links_between(stored(sets.select("_class", "_n", "_grams").dropDuplicates(["_class"])), percent, chunk)
+    read = (F.col("_id") == F.col("_rep")) & (F.xxhash64("_text") == F.col("_own"))
+    texts = texts.join(able.hint("merge"), read, "left_semi")
+    sets = stored(hashed_sets(texts, "_id", "_text", n, whole=True).select("_class", "_n", "_grams"))
+    roots = links_between(sets, percent, chunk)
     rooted = hashed.drop("_grams").join(roots.hint("merge"), F.col("_class") == F.col("vertex"), "left")
     mark = F.when(F.col("_id").isNotNull(), F.coalesce("root", "_class"))
     return rooted.select("_id", "_content", "_n", "_class", mark.alias("_root"))
