@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, chat, lm_scores, mixing, multi_index, ngram_join, quality_rules, secrets, sharding, token_counts
+from transitlake.llm import (
+    bpe, chat, line_quality, lm_scores, mixing, multi_index, ngram_join, quality_rules, resampling, secrets, sharding,
+    token_counts, whitening,
+)
 from transitlake.llm.common import stored, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +160,40 @@ def op8_token_counts(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     return token_counts.count(docs, vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query(
+    r"""WITH steps AS (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) r(b)), t AS (SELECT list(v ORDER BY b) AS t FROM steps),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b),
+named AS (SELECT w, hex(w) AS h, strlen(w) AS n FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS k FROM named, t),
+s AS (SELECT k, count(*) AS s FROM dw JOIN crc USING (w) GROUP BY 1), tt AS (SELECT k, count(*) AS t FROM bw JOIN crc USING (w) GROUP BY 1),
+totals AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS cs, (SELECT count(*) FROM bw)::DOUBLE AS ct),
+gain AS (SELECT k, floor(1000 * ln(((coalesce(t, 0)::DOUBLE + 1) * (cs + 10000)) / ((coalesce(s, 0)::DOUBLE + 1) * (ct + 10000))))::BIGINT AS g
+  FROM (SELECT range AS k FROM range(10000)) LEFT JOIN s USING (k) LEFT JOIN tt USING (k), totals),
+own AS (SELECT doc_id, sum(g)::BIGINT AS weight FROM dw JOIN crc USING (w) JOIN gain USING (k) GROUP BY 1),
+scored AS (SELECT d.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM d LEFT JOIN own USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
+)
+def op11_resampling(spark, folder):
+    docs, target = (table(spark, folder, name) for name in ("documents", "benchmark"))
+    return resampling.resample(docs.select("doc_id", "text"), target).drop("n_words")
+
+
+@query()
+def op12_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_line_quality(spark, folder):
+    return line_quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
