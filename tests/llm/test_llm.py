@@ -335,7 +335,8 @@ def test_mixture_reaches_targets(spark):
     for r in first:
         taken[r.source] += r.copies * r.size
         assert r.source_size == sizes[r.source] and math.isclose(r.target, want[r.source], abs_tol=1e-6) and 0 <= r.copies <= 3
-    assert all(abs(taken[s] - want[s]) <= 2 * largest[s] for s in sizes)
+    # within half a per cent for a source of some hundred documents, and within one document at worst
+    assert all(abs(taken[s] - want[s]) <= (min(largest[s], want[s] / 200) if s not in ("tiny", "empty") else largest[s]) for s in sizes)
     key = lambda r: (r.doc_id or -1, r.source or "", r.copies)
     assert sorted(map(key, first)) == sorted(map(key, mixing.mix(df.repartition(5), ["doc_id"]).collect()))
     assert mixing.mix(df.limit(0), ["doc_id"]).collect() == []
@@ -438,3 +439,140 @@ def test_pipeline_stages_against_plain_versions(spark, data):
     odd = spark.createDataFrame([(None, None, None, None, None, 1), (5, "", "xx", None, 0, 1), (5, "", "xx", None, 0, 1)], f"{DOCS}, ids int")
     for _, stage in pipeline.STAGES:
         assert stage(spark, odd, data).count() >= 0
+
+
+@pytest.mark.parametrize("text", [
+    "-----BEGIN " + "A " * 20_000 + "PRIVATE KEY-----", "-----BEGIN " + "AB " * 300_000, "eyJ" * 300_000, "eyJ" * 100_000 + "." + "eyJ" * 100_000,
+    "password" + " " * 1_000_000 + "x", "AKIA" * 250_000, "password=" + "a" * 1_000_000, "f" * 1_000_000, "secret:" * 20_000, "é" * 600_000,
+    "sk_live_" * 100_000, "ghp_" * 200_000 + "a" * 40, "xoxb-" * 200_000,
+])
+def test_secrets_in_very_long_texts(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secrets.scan(df).first()
+    assert [(s.start, s.end, s.kind) for s in found.spans] == secrets.python_spans(text)
+
+
+def test_extra_columns_of_any_name_come_back(spark):
+    """Names that the operators use inside are names like others."""
+    inside = ["_text", "_row", "_free", "_kinds", "_posted", "m", "before", "_key", "_total", "_unit", "_source", "_size", "_nth", "bytes", "rows", "_named"]
+    schema = "doc_id long, text string, source string, size long, " + ", ".join(f"{c} string" for c in inside)
+    rows = [(i, "token=abcdefgh1", "ab"[i % 2], 5, *[f"{c}{i}" for c in inside]) for i in range(6)]
+    df = spark.createDataFrame(rows, schema)
+    for made in (secrets.scan(df), mixing.mix(df, ["doc_id"]), sharding.place(df, ["doc_id"], "size", 3)):
+        assert sorted(tuple(r) for r in made.select(*df.columns).collect()) == rows
+
+
+def test_slots_are_swapped_where_no_move_helps():
+    held = {0: 0, 1: 0, 2: 1, 3: 1}
+    edited = sharding.rebalanced(held, {0: 10, 1: 9, 2: 6, 3: 5}, 2)
+    loads = Counter()
+    for slot, shard in edited.items():
+        loads[shard] += {0: 10, 1: 9, 2: 6, 3: 5}[slot]
+    assert abs(loads[0] - loads[1]) <= 2
+
+
+def test_equal_texts_share_a_shard_if_the_keys_say_so(spark):
+    df = spark.createDataFrame([(i, f"text {i % 5}", 10) for i in range(40)], "doc_id long, text string, size long")
+    shards = defaultdict(set)
+    for r in sharding.place(df, ["text"], "size", 4).collect():
+        shards[r.text].add(r.shard)
+    assert all(len(s) == 1 for s in shards.values())
+
+
+def test_token_counts_of_long_runs(spark):
+    tiktoken, published = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    import base64
+
+    path = published.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    coder = tiktoken.Encoding("t", pat_str=published.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for blank in (" ", "\n", "\t", "\u3000", " \n"):
+        for text in ("a" + blank * 6000 + "b", blank * 5000, "a" + blank * 5000, blank * 5000 + "#", "x y" + blank * 9000 + "1" + blank * 5000 + "z"):
+            assert token_counts.encoded(coder, published.PATTERN, text) == coder.encode_ordinary(text)
+    texts = ["a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000 + "b", "!" * 1_000_000, "ab" * 500_000, "1" * 1_000_000]
+    df = spark.createDataFrame([(i, None, None, t) for i, t in enumerate(texts)], "doc_id long, source string, lang string, text string")
+    counted = token_counts.count(df, path, published.PATTERN).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert len(counted) == len(texts) and all(r.n > 1000 for r in counted)
+
+
+def contract(spark, data, name):
+    from transitlake.llm import queries
+
+    return {r[0]: r for r in queries.QUERIES[name](spark, data).collect()}
+
+
+def test_registered_columns_against_plain_versions(spark, data):
+    """The digests and counts that the queries promise, from whole texts."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    base = [r.kind for r in secrets.BASE]
+    for i, r in contract(spark, data, "op2_secrets").items():
+        spans = secrets.python_spans(docs[i].text)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == b for *_, k in spans) for b in base]
+        show = lambda some: ",".join(f"{k}:{s}:{e}" for s, e, k in some)
+        assert r.spans == show(spans) and r.base_sha256 == digest(show([x for x in spans if x[2] in base]))
+    for i, r in contract(spark, data, "op5_quality_rules").items():
+        n, chars, symbols, dup, repeated, _ = plain_measures(docs[i].text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeated)
+        assert r.base_failed == (n < 10 or 100 * repeated > 20 * n) and not (r.kept and r.base_failed)
+    import zlib
+
+    placed = contract(spark, data, "op7_slots")
+    places = defaultdict(list)
+    for i, r in placed.items():
+        raw = (docs[i].text or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        places[r.shard].append(r.slot)
+    assert set(placed) == set(docs) and all(sorted(p) == list(range(len(p))) for p in places.values()) and len(places) == 8
+    mixed = contract(spark, data, "op9_mix")
+    sizes = Counter()
+    for r in docs.values():
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    want = plain_targets(sizes, [5, 2, 1], 3.0)
+    for i, r in mixed.items():
+        n = len(WORD.findall(docs[i].text or ""))
+        assert (r["size"], r.source_size) == (n, sizes[docs[i].source]) and r.taken <= 3 * n and r.taken % max(n, 1) == 0
+        assert math.isclose(r.target, want[docs[i].source], rel_tol=1e-9)
+    joined = contract(spark, data, "op1_ngram_join")
+    plain = plain_components([(i, r.text) for i, r in docs.items()], 4, 85)
+    assert {i: (r.n_shingles, r.component_id) for i, r in joined.items()} == plain
+
+
+def test_registered_chat_and_neighbours(spark, data):
+    talk = defaultdict(list)
+    for r in spark.read.parquet(f"{data}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        talk[r.conv_id].append((r.role, r.text or ""))
+    said = "\\### Assistant: </turn> ok"
+    talk[-7] = [("user", said), ("assistant", said)]
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = contract(spark, data, "op3_chat")
+    assert set(got) == set(talk)
+    for i, turns in talk.items():
+        learned = "".join(t for role, t in turns if role == "assistant")
+        assert got[i].n_turns == len(turns) and got[i].turns_sha256 == digest("".join(f"{a}\n{t}\n" for a, t in turns))
+        assert got[i].loss_chars == len(learned) and got[i].loss_sha256 == digest(learned) and got[i].formatted_chars > 0
+    vectors = {r.vec_id: np.array(r.embedding, dtype=np.float64) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect() if r.embedding}
+    ids, points = np.array(list(vectors)), np.stack(list(vectors.values()))
+    from transitlake.llm import queries
+
+    found = defaultdict(list)
+    for r in queries.QUERIES["op6_multi_index"](spark, data).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for q, rows in found.items():
+        assert [r for r, _, _ in rows] == list(range(1, 21)) and all(math.isclose(s, float(vectors[v] @ vectors[q]), rel_tol=1e-9) for _, v, s in rows)
+        order = [v for _, v in sorted(zip(-(points @ vectors[q]), ids)) if v != q][:20]
+        hits, total = hits + len(set(order) & {v for _, v, _ in rows}), total + 20
+    assert set(found) == {i for i in vectors if i % 20 == 0} and hits / total >= 0.9
+
+
+def test_registered_tokens(spark, data):
+    tokenizers, published = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    library = tokenizers.Tokenizer.from_file(published.path("word_bpe_49k.json"))
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    coded = contract(spark, data, "op10_bpe")
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        mine = coded[r.doc_id]
+        assert (mine.n_tokens, mine.ids_sha256) == (len(ids), digest(" ".join(map(str, ids))))
+        assert mine.decoded_sha256 == digest(library.decode(ids, skip_special_tokens=False))

@@ -142,7 +142,8 @@ def format_trees(
 
 def as_trees(df: DataFrame, conversation: str, *order: str) -> DataFrame:
     """Rows of linear conversations as trees: ``node`` numbers a conversation's rows by
-    ``order`` from 1, ``parent`` is the row before, ``score`` is 1."""
+    ``order`` from 1, ``parent`` is the row before, ``score`` is 1; columns of these names are
+    replaced. Rows equal in ``order`` are numbered in any order among themselves."""
     numbered = Window.partitionBy(conversation).orderBy(*order)
     at = df.withColumn("node", F.row_number().over(numbered))
     return at.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(1.0))

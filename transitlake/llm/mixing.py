@@ -1,28 +1,27 @@
 """Mixing sources to target weights by pivotal rounding.
 
 Every document of a source is expected ``target / source size`` times. The whole part is
-taken; the fractions are rounded dependently: two fractional units duel, one hands its
-mass to the other until one of them is 0 or 1, the other goes on. Sums are kept at every
-duel, so a source's number of copies is exact to the last unit, and as neighbours in size
-meet first, its words come near the target too.
-
-The duels form a tree: blocks of ``BLOCK`` units of similar size are folded in parallel
-and each leaves at most one fractional unit; these residuals are the next level's units.
-No block grows with the data. Random numbers are hashes of the two units' keys.
+taken; the fractions are rounded dependently: a fractional unit duels with others, expected
+words pass between them in a direction that its coin decides, until it is 0 or 1. A duel
+keeps the sum of words, so a source's words are exact up to what is left over, and as the
+largest documents duel first, that is small.
+
+The duels form a tree: blocks of some ``BLOCK`` units are rounded in parallel and leave a
+few fractional units each; these residuals are the next level's units. No block grows with
+the data. Random numbers are hashes of the two units' keys.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake.llm.common import stored, uniform, without
 
 WEIGHTS = [5, 2, 1]
-#: units folded in one go, and units over which one window deals out blocks
-BLOCK, BUCKET = 128, 1 << 14
+#: units rounded in one go, on average, and those that such a block leaves, about: one in
+#: ``RESERVE`` waits, so that later blocks hold units of all sizes too
+BLOCK, LEFT, RESERVE = 128, 12, 16
 NEAR = 1e-9
 
 
@@ -58,57 +57,113 @@ def source_targets(sized: DataFrame, source: str, size: str, weights: list[int]
     return stored(leveled.select("_source", "source_size", target.alias("target"), "_rows"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def duels(units: Column, level: int, seed: int) -> Column:
-    """Fold a sorted array of ``struct(size, key, p)``: a struct of the keys that reached 1
-    (``won``) and the unit left over (``rest``, null if none)."""
-    empty = F.struct(
-        F.array().cast("array<binary>").alias("won"), F.lit(None).cast("struct<size:bigint,key:binary,p:double>").alias("rest")
+    """Round an array of ``struct(size, key, p)``, largest sizes first: the same array with
+    new ``p``, nearly all of them 0 or 1.
+
+    In turn each unit throws its coin and duels with the smaller ones: if it rises it takes
+    the words it lacks from them, if it falls it hands them the words it has, to each
+    opponent the same share of either, and no more than leaves the opponent's ``p`` between 0
+    and 1 both ways. So no unit's expectation changes and the sum of words stays; a unit
+    whose opponents cannot carry all of it stays fractional. Units without words have no
+    opponents: their coin decides.
+    """
+
+    def duel(state: Column, k: Column) -> Column:
+        own = F.get(units, k)
+        fighter = F.struct(
+            own["size"].cast("double").alias("size"), F.get(state, k).alias("p"),
+            uniform(F.lit(seed), F.lit(level), own["key"]).alias("u"),
+        )
+
+        def fought(a: Column) -> Column:
+            lacks, had, rises = (1 - a["p"]) * a["size"], a["p"] * a["size"], a["u"] < a["p"]
+            # the share of the duel that each smaller unit can carry
+            can = F.transform(
+                F.arrays_zip(state.alias("p"), units["size"].alias("size")),
+                lambda x, i: F.when(
+                    (i > k) & (x["size"] > 0), F.least(x["p"] * x["size"] / lacks, (1 - x["p"]) * x["size"] / had)
+                ).otherwise(0.0),
+            )
+
+            def moved(carried: Column) -> Column:
+                total = F.aggregate(carried, F.lit(0.0), lambda s, c: s + c)
+
+                def after(t: Column) -> Column:
+                    scale, done = 1 / F.greatest(t, F.lit(1.0)), F.least(t, F.lit(1.0))
+                    mine = F.when(rises, F.when(t >= 1, 1.0).otherwise(a["p"] + done * (1 - a["p"]))).otherwise(
+                        F.when(t >= 1, 0.0).otherwise(a["p"] - done * a["p"])
+                    )
+                    words = F.when(rises, -lacks).otherwise(had) * scale
+                    return F.transform(
+                        F.arrays_zip(state.alias("p"), units["size"].alias("size"), carried.alias("c")),
+                        lambda x, i: F.when(i == k, mine)
+                        .when(x["c"] > 0, F.greatest(F.least(x["p"] + words * x["c"] / x["size"], F.lit(1.0)), F.lit(0.0)))
+                        .otherwise(x["p"]),
+                    )
+
+                return let(total, after)
+
+            alone = F.transform(state, lambda p, i: F.when(i == k, rises.cast("double")).otherwise(p))
+            settled = (a["p"] < NEAR) | (a["p"] > 1 - NEAR)
+            return F.when(settled, state).when(a["size"] == 0, alone).otherwise(let(can, moved))
+
+        return let(fighter, fought)
+
+    chances = F.aggregate(F.sequence(F.lit(0), F.size(units) - 1), units["p"], duel)
+    return F.transform(
+        F.arrays_zip(units.alias("unit"), chances.alias("p")),
+        lambda x: F.struct(x["unit"]["size"].alias("size"), x["unit"]["key"].alias("key"), x["p"].alias("p")),
     )
 
-    def duel(state: Column, unit: Column) -> Column:
-        rest, won = state["rest"], state["won"]
-        a, b = rest["p"], unit["p"]
-        u = uniform(F.lit(seed), F.lit(level), rest["key"], unit["key"])
-        both = a + b
-        # below 1 the loser ends at 0; from 1 on the winner ends at 1 and the other keeps what is over
-        unit_goes_on = F.when(both < 1, u * both < b).otherwise(u * (2 - both) < 1 - b)
-        left = F.when(both < 1, both).otherwise(both - 1)
-        done = F.when(both >= 1, F.concat(won, F.array(F.when(unit_goes_on, rest["key"]).otherwise(unit["key"])))).otherwise(won)
-        stays = F.when(unit_goes_on, unit).otherwise(rest)
-        over = F.when(left > NEAR, F.struct(stays["size"].alias("size"), stays["key"].alias("key"), left.alias("p")))
-        # a sum within rounding of 1 is a whole unit
-        full = over["p"] > 1 - NEAR
-        fought = F.struct(
-            F.when(full, F.concat(done, F.array(over["key"]))).otherwise(done).alias("won"), F.when(~full, over).alias("rest")
+
+def last_rounding(units: Column) -> Column:
+    """Keys of the units, largest first, that rise if each goes where the words taken so far
+    come nearest their sum."""
+    start = F.struct(F.lit(0.0).alias("over"), F.array().cast("array<binary>").alias("won"))
+
+    def step(state: Column, x: Column) -> Column:
+        up, down = state["over"] + (1 - x["p"]) * x["size"], state["over"] - x["p"] * x["size"]
+        rises = F.abs(up) <= F.abs(down)
+        return F.struct(
+            F.when(rises, up).otherwise(down).alias("over"),
+            F.when(rises, F.concat(state["won"], F.array(x["key"]))).otherwise(state["won"]).alias("won"),
         )
-        return F.when(rest.isNull(), F.struct(won.alias("won"), unit.alias("rest"))).otherwise(fought)
 
-    return F.aggregate(units, empty, duel)
+    return F.aggregate(units, start, step, lambda s: s["won"])
+
 
+def rounded(units: DataFrame, seed: int) -> DataFrame:
+    """``units``: ``_source, size, key, p, _n`` with 0 < p < 1 and ``_n``: about the number of
+    units in the source. The keys that are rounded up, each once.
 
-def rounded(units: DataFrame, most: int, seed: int) -> DataFrame:
-    """``units``: ``_source, size, key, p`` with 0 < p < 1; ``most``: the largest number of
-    units in a source. The keys that are rounded up, each once."""
+    Blocks are dealt by hash, so that each holds large and small units and leaves a few small
+    ones. What the last block of a source leaves is rounded to the nearest sum."""
     level, won = 0, None
     while True:
-        buckets = math.ceil(most / BUCKET)
-        spread = F.pmod(F.xxhash64(F.lit(seed + level), "key"), F.lit(buckets))
-        order = Window.partitionBy("_source", "_bucket").orderBy("size", "key")
-        blocked = units.withColumn("_bucket", spread).withColumn(
-            "_block", F.floor((F.row_number().over(order) - 1) / BLOCK)
-        )
-        folded = blocked.groupBy("_source", "_bucket", "_block").agg(
-            duels(F.array_sort(F.collect_list(F.struct("size", "key", "p"))), level, seed).alias("_f")
-        )
-        folded = stored(folded.select("_source", "_f.won", "_f.rest"))
-        up = folded.select(F.explode("won").alias("key"))
-        won = up if won is None else won.unionByName(up)
-        units = folded.where(F.col("rest").isNotNull()).select("_source", "rest.*")
-        if most <= BLOCK:
-            last = units.where(uniform(F.lit(seed), F.lit("last"), "key") < F.col("p")).select("key")
-            return won.unionByName(last)
-        # a bucket may hold a few more than its share: one more block each
-        most = math.ceil(most / BLOCK) + (buckets if buckets > 1 else 0)
+        blocks = F.ceil(F.col("_n") / BLOCK)
+        dealt = units.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + level), "key"), blocks)).withColumn("_blocks", blocks)
+        waits = (uniform(F.lit(seed), F.lit(level), F.lit("waits"), F.col("key")) * RESERVE < 1) & (F.col("_blocks") > 1)
+        unit = F.struct("size", "key", "p")
+        gathered = [F.collect_list(F.when(x, unit)).alias(n) for x, n in ((~waits, "_held"), (waits, "_waits"))]
+        folded = dealt.groupBy("_source", "_block", "_blocks").agg(*gathered)
+        fought = duels(F.sort_array("_held", asc=False), level, seed)
+        folded = folded.select("_source", "_blocks", "_waits", F.when(F.size("_held") > 0, fought).otherwise(F.col("_held")).alias("_f"))
+        rest = F.concat("_waits", F.filter("_f", lambda x: (x["p"] >= NEAR) & (x["p"] <= 1 - NEAR)))
+        up = F.transform(F.filter("_f", lambda x: x["p"] > 1 - NEAR), lambda x: x["key"])
+        folded = stored(folded.select("_source", "_blocks", up.alias("won"), rest.alias("rest")))
+        last = F.when(F.col("_blocks") == 1, last_rounding(F.col("rest"))).otherwise(F.array().cast("array<binary>"))
+        keys = folded.select(F.explode(F.concat("won", last)).alias("key"))
+        won = keys if won is None else won.unionByName(keys)
+        units = folded.where(F.col("_blocks") > 1).select("_source", F.explode("rest").alias("_u"), (LEFT * F.col("_blocks")).alias("_n"))
+        units = units.select("_source", "_u.*", "_n")
+        if units.isEmpty():
+            return won
         level += 1
 
 
@@ -124,22 +179,24 @@ def mix(
     a source of its own, a source without size has target 0 and no copies. Reruns agree.
     """
     kept = without(df, "source_size", "target", "copies")
-    columns = kept.columns
-    named = kept.withColumn(size, F.coalesce(F.col(size).cast("long"), F.lit(0)))
-    mark = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(k) for k in [*keys, source, size]]), {"ignoreNullFields": "false"}), 224))
-    keyed = named.withColumn("_key", mark)
-    targets = source_targets(named, source, size, weights, cap)
-    units = keyed.groupBy(F.col("_key").alias("key"), F.col(source).alias("_unit_source"), F.col(size).alias("size")).agg(
+    sized = kept.withColumn(size, F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    told = F.struct(*[F.col(f"`{k}`") for k in dict.fromkeys([*keys, source, size])])
+    mark = F.unhex(F.sha2(F.to_json(told, {"ignoreNullFields": "false"}), 224))
+    # the row travels in one struct, so that its columns clash with none of the names below
+    row = F.struct(*[F.col(f"`{c}`") for c in sized.columns])
+    keyed = sized.select(row.alias("_row"), mark.alias("_key"))
+    named = keyed.select("_key", F.col("_row")[source].alias("_named"), F.col("_row")[size].alias("_size"))
+    targets = source_targets(named, "_named", "_size", weights, cap)
+    units = named.groupBy(F.col("_key").alias("key"), F.col("_named").alias("_unit_source"), F.col("_size").alias("size")).agg(
         F.count("*").alias("m")
     )
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     expected = F.least(share, F.lit(float(cap))) * F.col("m")
     units = units.join(targets, F.col("_unit_source").eqNullSafe(F.col("_source")))
     units = units.withColumn("_whole", F.floor(expected + NEAR)).withColumn("p", expected - F.col("_whole"))
-    units = stored(units.select("_source", "size", "key", "m", "_whole", "p", "source_size", "target"))
-    fractional = units.where(F.col("p") > NEAR).select("_source", "size", "key", "p")
-    most = targets.agg(F.max("_rows")).first()[0] or 1
-    up = rounded(fractional, most, seed).select(F.col("key").alias("_up"))
+    units = stored(units.select("_source", "size", "key", "m", "_whole", "p", "source_size", "target", "_rows"))
+    fractional = units.where(F.col("p") > NEAR).select("_source", "size", "key", "p", F.col("_rows").alias("_n"))
+    up = rounded(fractional, seed).select(F.col("key").alias("_up"))
     counted = units.join(up, F.col("key") == F.col("_up"), "left").select(
         F.col("key").alias("_unit"), "m", "source_size", "target",
         (F.col("_whole") + F.col("_up").isNotNull().cast("long")).alias("_total"),
@@ -149,5 +206,5 @@ def mix(
     each = F.floor(F.col("_total") / F.col("m"))
     copies = each + (F.col("_nth") <= F.col("_total") - each * F.col("m")).cast("long")
     return joined.withColumn("_nth", nth).select(
-        *columns, F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("long").alias("copies")
+        "_row.*", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("long").alias("copies")
     )

@@ -50,10 +50,12 @@ BASE = [
 ]
 #: further kinds, told by fixed prefixes
 MORE = [
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # one character class: Java would recurse once per repetition of a group
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # only where a run begins, else a long run would be scanned once per start inside it
+    Rule("signed_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("payment_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
 ]
 RULES = [*BASE, *MORE]
@@ -193,24 +195,26 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", rules: list[Rule
     row is verified on its own text; null ids are ids like others. Equal rows stay.
     """
     kept = without(df, "spans")
-    columns = [F.col(f"`{c}`") for c in kept.columns]
+    # the row travels in one struct, so that its columns clash with none of the names below
+    row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row")
+    kept, whole = kept.select(row), blank_null(F.col("_row")[text])
     indexed = queries_of(rules)
     trigrams = sorted({t for clauses in indexed.values() for c in clauses for t in c})
-    tested = kept.withColumn("_text", blank_null(text))
     # rules without a mandatory trigram are run here, over every text
     free = [r for r in rules if r.kind not in indexed]
-    everywhere = [F.when(F.rlike("_text", F.lit(r.searched)), spans_of(F.col("_text"), r)) for r in free]
+    everywhere = [F.when(F.rlike(whole, F.lit(r.searched)), spans_of(whole, r)) for r in free]
     none = F.array().cast(SPANS)
-    tested = tested.withColumn("_free", F.concat(none, *[F.coalesce(e, none) for e in everywhere]))
+    tested = kept.withColumn("_free", F.concat(none, *[F.coalesce(e, none) for e in everywhere]))
     if not indexed:
-        return tested.select(*columns, F.array_sort("_free").alias("spans"))
-    found = candidates(postings(kept, id, text, trigrams), indexed, trigrams)
-    joined = tested.join(found, F.col(f"`{id}`").eqNullSafe(F.col("_posted")), "left")
+        return tested.select("_row.*", F.array_sort("_free").alias("spans"))
+    narrow = kept.select(F.col("_row")[id].alias("_id"), whole.alias("_text"))
+    found = candidates(postings(narrow, "_id", "_text", trigrams), indexed, trigrams)
+    joined = tested.join(found, F.col("_row")[id].eqNullSafe(F.col("_posted")), "left")
     verified = [
-        F.when(F.array_contains("_kinds", r.kind), spans_of(F.col("_text"), r)) for r in rules if r.kind in indexed
+        F.when(F.array_contains("_kinds", r.kind), spans_of(whole, r)) for r in rules if r.kind in indexed
     ]
     every = F.concat(F.col("_free"), *[F.coalesce(v, none) for v in verified])
-    return joined.select(*columns, F.array_sort(every).alias("spans"))
+    return joined.select("_row.*", F.array_sort(every).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

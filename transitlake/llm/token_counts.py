@@ -1,7 +1,8 @@
 """Token counts of fields and sections by offsets.
 
 A document is rendered from its fields and encoded once, as a whole. The tokens' spans are
-joined to the spans of fields and of the last field's sections; a token that crosses a
+joined to the spans of fields and of the last field's sections, by binary search in the task
+that holds the document, as no document's spans concern another one; a token that crosses a
 boundary is allotted by a named rule. Encoding parts one by one would count tokens that the
 whole text never has.
 """
@@ -50,6 +51,26 @@ def rendered(fields: list[bytes], separator: bytes) -> tuple[bytes, list[tuple[i
     return b"".join(parts), list(zip(names, np.cumsum([len(p) for p in parts]).tolist()))
 
 
+#: a pattern ending in this gives a run of blanks before a word, but for its last, as one piece
+LONG_BLANKS, BLANK_RUN = r"\s+(?!\S)|\s+", r"\p{White_Space}{4096,}"
+
+
+def encoded(coder, pattern: str, text: str) -> list[int]:
+    """Tokens of a text. The library's matcher recurses once per blank of a run, so long runs
+    are cut by the pattern's own rule and encoded as the one piece that they are."""
+    if not pattern.endswith(LONG_BLANKS) or not text:
+        return coder.encode_ordinary(text)
+    import regex
+
+    out, done = [], 0
+    for run in regex.finditer(BLANK_RUN, text):
+        end = run.end() - 1 if run.end() < len(text) else run.end()
+        out += coder.encode_ordinary(text[done : run.start()])
+        out += coder._encode_single_piece(text[run.start() : end])
+        done = end
+    return out + coder.encode_ordinary(text[done:])
+
+
 def count(
     df: DataFrame, ranks: str, pattern: str, id: str = "doc_id", fields: tuple[str, ...] = ("source", "lang", "text"),
     separator: str = "\n", rule: str = "most",
@@ -84,7 +105,7 @@ def count(
             out: list[list] = [[] for _ in range(7)]
             for own, *parts in zip(ids, *columns):
                 whole, sections = rendered(parts, mark)
-                tokens = coder.encode_ordinary(whole.decode("utf-8", "replace"))
+                tokens = encoded(coder, pattern, whole.decode("utf-8", "replace"))
                 ends = np.cumsum(width[tokens]) if tokens else np.zeros(0, np.int64)
                 limits = np.array([e for _, e in sections], np.int64)
                 if len(tokens):

@@ -137,13 +137,18 @@ def leading(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def on_grid(vector: Column, scale: int, offset: int) -> Column:
-    return F.transform(vector, lambda c: F.floor(c.cast("double") * scale) + offset)
+    # null beyond 64 bits: the planner may compute this before the rows are filtered
+    return F.transform(vector, lambda c: F.when(on_range(c, scale), F.floor(c.cast("double") * scale) + offset))
+
+
+def on_range(entry: Column, scale: int) -> Column:
+    return F.abs(entry.cast("double")) * scale < F.lit(2.0**62)
 
 
 def usable(vector: Column, scale: int) -> Column:
     """Neither null nor empty, and all entries finite and on a grid of 64 bits."""
     return F.coalesce(
-        F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) * scale < F.lit(2.0**62))) & (F.size(vector) > 0),
+        F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & on_range(c, scale)) & (F.size(vector) > 0),
         F.lit(False),
     )
 
