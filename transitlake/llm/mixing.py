@@ -21,7 +21,7 @@ from transitlake.llm.common import stored, uniform, without
 WEIGHTS = [5, 2, 1]
 #: units rounded in one go, on average, and those that such a block leaves, about: one in
 #: ``RESERVE`` waits, so that later blocks hold units of all sizes too
-BLOCK, LEFT, RESERVE = 128, 12, 16
+BLOCK, LEFT, RESERVE = 64, 12, 6
 NEAR = 1e-9
 
 
@@ -75,51 +75,53 @@ def duels(units: Column, level: int, seed: int) -> Column:
     """
 
     def duel(state: Column, k: Column) -> Column:
+        """``state``: chances of the units before ``k``, as they ended, and of the others."""
         own = F.get(units, k)
         fighter = F.struct(
-            own["size"].cast("double").alias("size"), F.get(state, k).alias("p"),
+            own["size"].cast("double").alias("size"), F.get(state["open"], F.lit(0)).alias("p"),
             uniform(F.lit(seed), F.lit(level), own["key"]).alias("u"),
         )
+        smaller = F.slice(units["size"], k + 2, F.size(units))
+        others = F.slice(state["open"], 2, F.size(units))
+
+        def ended(p: Column, rest: Column) -> Column:
+            return F.struct(F.concat(state["done"], F.array(p)).alias("done"), rest.alias("open"))
 
         def fought(a: Column) -> Column:
             lacks, had, rises = (1 - a["p"]) * a["size"], a["p"] * a["size"], a["u"] < a["p"]
             # the share of the duel that each smaller unit can carry
-            can = F.transform(
-                F.arrays_zip(state.alias("p"), units["size"].alias("size")),
-                lambda x, i: F.when(
-                    (i > k) & (x["size"] > 0), F.least(x["p"] * x["size"] / lacks, (1 - x["p"]) * x["size"] / had)
-                ).otherwise(0.0),
+            can = F.zip_with(
+                others, smaller, lambda p, s: F.when(s > 0, F.least(p * s / lacks, (1 - p) * s / had)).otherwise(0.0)
             )
 
             def moved(carried: Column) -> Column:
-                total = F.aggregate(carried, F.lit(0.0), lambda s, c: s + c)
-
                 def after(t: Column) -> Column:
                     scale, done = 1 / F.greatest(t, F.lit(1.0)), F.least(t, F.lit(1.0))
                     mine = F.when(rises, F.when(t >= 1, 1.0).otherwise(a["p"] + done * (1 - a["p"]))).otherwise(
                         F.when(t >= 1, 0.0).otherwise(a["p"] - done * a["p"])
                     )
                     words = F.when(rises, -lacks).otherwise(had) * scale
-                    return F.transform(
-                        F.arrays_zip(state.alias("p"), units["size"].alias("size"), carried.alias("c")),
-                        lambda x, i: F.when(i == k, mine)
-                        .when(x["c"] > 0, F.greatest(F.least(x["p"] + words * x["c"] / x["size"], F.lit(1.0)), F.lit(0.0)))
-                        .otherwise(x["p"]),
-                    )
 
-                return let(total, after)
+                    def opponents(w: Column) -> Column:
+                        gained = F.zip_with(carried, smaller, lambda c, s: F.when(c > 0, w * c / s).otherwise(0.0))
+                        return F.zip_with(others, gained, lambda p, d: F.greatest(F.least(p + d, F.lit(1.0)), F.lit(0.0)))
+
+                    return ended(mine, let(words, opponents))
+
+                return let(F.aggregate(carried, F.lit(0.0), lambda s, c: s + c), after)
 
-            alone = F.transform(state, lambda p, i: F.when(i == k, rises.cast("double")).otherwise(p))
             settled = (a["p"] < NEAR) | (a["p"] > 1 - NEAR)
-            return F.when(settled, state).when(a["size"] == 0, alone).otherwise(let(can, moved))
+            return (
+                F.when(settled, ended(a["p"], others))
+                .when(a["size"] == 0, ended(rises.cast("double"), others))
+                .otherwise(let(can, moved))
+            )
 
         return let(fighter, fought)
 
-    chances = F.aggregate(F.sequence(F.lit(0), F.size(units) - 1), units["p"], duel)
-    return F.transform(
-        F.arrays_zip(units.alias("unit"), chances.alias("p")),
-        lambda x: F.struct(x["unit"]["size"].alias("size"), x["unit"]["key"].alias("key"), x["p"].alias("p")),
-    )
+    start = F.struct(F.array().cast("array<double>").alias("done"), units["p"].alias("open"))
+    chances = F.aggregate(F.sequence(F.lit(0), F.size(units) - 1), start, duel, lambda s: s["done"])
+    return F.zip_with(units, chances, lambda x, p: F.struct(x["size"].alias("size"), x["key"].alias("key"), p.alias("p")))
 
 
 def last_rounding(units: Column) -> Column:
