@@ -8,9 +8,10 @@ from transitlake.plans import adapters, learn
 
 FEATURES = [f"f{i}" for i in range(8)]
 QUICK = {
-    "boosted": Learner("boosted", {"maxIter": 1, "maxDepth": 2}),
+    "boosted": Learner("boosted", {"rounds": 2, "depth": 2, "trends": {"f0": 1, "f1": -1}}),
     "forest": Learner("forest", {"numTrees": 3, "maxDepth": 3}),
     "linear": Learner("linear", {"maxIter": 10}),
+    "network": Learner("network", {"hidden": (4,), "rounds": 3}),
 }
 
 
@@ -72,6 +73,9 @@ def test_scoring_save_and_load(spark, training, vectors, tmp_path):
     again = learn.load_bundle(spark, str(tmp_path / "release")).score(vectors)
     both = scored.select("row_id", "p_conf").join(again.select("row_id", F.col("p_conf").alias("q")), "row_id")
     assert both.where(F.abs(F.col("p_conf") - F.col("q")) > 1e-12).count() == 0
+    loaded = learn.load_bundle(spark, str(tmp_path / "release"))
+    ready = assemble(impute(vectors, FEATURES, {}), FEATURES)
+    assert sums_to_one(loaded.stacked(ready)) and loaded.stacker.names == training.stacker.names
 
 
 def test_one_row_and_request_names(rows, training):
@@ -120,10 +124,12 @@ def test_hold_out_evaluation(training, vectors):
     assert 0 < row["pr_auc_macro"] <= 1 and 0 <= row["roc_auc_ovo"] <= 1
 
 
-def test_network_learner(vectors):
+def test_other_learners(vectors):
     ready = assemble(impute(vectors, FEATURES, {}), FEATURES)
-    fitted = Learner("network", {"hidden": [4], "maxIter": 3}).fit(ready)
-    assert sums_to_one(fitted.predict(ready)) and fitted.importances(FEATURES) == []
+    network = Learner("network", {"hidden": (4,), "rounds": 3}).fit(ready)
+    assert sums_to_one(network.predict(ready)) and network.importances(FEATURES) == []
+    trees = Learner("one_vs_rest", {"maxIter": 1, "maxDepth": 2}).fit(ready)
+    assert sums_to_one(trees.predict(ready)) and len(trees.importances(FEATURES)) == len(FEATURES)
 
 
 def test_unknown_learner(vectors):

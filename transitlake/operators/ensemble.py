@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitlake import schema as S
-from transitlake.operators import metrics
+from transitlake.operators import isotonic, metrics
 from transitlake.operators.learners import VECTOR, _normalised, _spread, assemble
 from transitlake.operators.ranks import attach
+from transitlake.session import side_by_side
 
 P = S.PROBABILITIES
-GRID = 10_000
 
 
 def weighted_average(models: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,54 +69,39 @@ class Stacker:
 
 @dataclass
 class Calibrator:
-    """Cross-fitted one-versus-rest logistic score, made monotone by isotonic
-    regression, normalised, averaged over folds.
-
-    The isotonic fit ends on the driver, so it never sees raw rows: scores are
-    first merged to a grid of ``GRID + 1`` weighted points per class.
-    """
+    """Cross-fitted one-versus-rest logistic score, made monotone by isotonic regression,
+    normalised, averaged over folds: a fold is a list of (logistic, isotonic) per class."""
 
     folds: list[list[tuple]] | None = None
 
     def fit(self, df: DataFrame, y: str = "y", key: str = "row_id", k: int = 3) -> Calibrator:
-        data = assemble(df, P)
-        self.folds = []
-        for i in range(k):
-            part = F.pmod(F.xxhash64(key), F.lit(k))
-            fit_on, map_on = data.where(part != i), data.where(part == i)
-            pairs = []
-            for c in S.CLASS_IDS:
-                is_class = (F.col(y) == c).cast("double")
-                logistic = LogisticRegression(
-                    featuresCol=VECTOR, labelCol="_is", probabilityCol="_prob", predictionCol="_pred",
-                    rawPredictionCol="_raw", regParam=1e-4,
-                ).fit(fit_on.withColumn("_is", is_class))
-                scored = logistic.transform(map_on.withColumn("_is", is_class))
-                points = (
-                    scored.withColumn("_score", F.round(vector_to_array("_prob")[1] * GRID) / GRID)
-                    .groupBy("_score")
-                    .agg(F.avg("_is").alias("_is"), F.count("*").cast("double").alias("_n"))
-                )
-                isotonic = IsotonicRegression(
-                    featuresCol="_score", labelCol="_is", weightCol="_n", predictionCol="_cal"
-                ).fit(points)
-                pairs.append((logistic, isotonic))
-            self.folds.append(pairs)
+        data, part = assemble(df, P), F.pmod(F.xxhash64(key), F.lit(k))
+
+        def pair(i: int, c: int) -> tuple:
+            is_class = (F.col(y) == c).cast("double")
+            logistic = LogisticRegression(
+                featuresCol=VECTOR, labelCol="_is", probabilityCol="_prob", predictionCol="_pred",
+                rawPredictionCol="_raw", regParam=1e-4,
+            ).fit(data.where(part != i).withColumn("_is", is_class))
+            scored = logistic.transform(data.where(part == i).withColumn("_is", is_class))
+            return logistic, isotonic.fit(scored.withColumn("_score", vector_to_array("_prob")[1]), "_score", "_is")
+
+        tasks = [(i, c) for i in range(k) for c in S.CLASS_IDS]
+        made = dict(zip(tasks, side_by_side([partial(pair, *t) for t in tasks])))
+        self.folds = [[made[i, c] for c in S.CLASS_IDS] for i in range(k)]
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        out = assemble(df, P)
-        sums = [F.lit(0.0)] * len(P)
-        made = []
+        out, scores = assemble(df, P), {}
         for i, pairs in enumerate(self.folds):
-            raw = []
-            for c, (logistic, isotonic) in enumerate(pairs):
-                name = f"_cal_{i}_{c}"
-                out = logistic.transform(out).withColumn("_score", vector_to_array("_prob")[1])
-                out = isotonic.transform(out.drop("_prob", "_pred", "_raw")).withColumnRenamed("_cal", name)
-                out = out.drop("_score")
-                raw.append(F.greatest(F.col(name), F.lit(0.0)))
-                made.append(name)
+            for c, (logistic, _) in enumerate(pairs):
+                scores[i, c] = f"_score_{i}_{c}"
+                out = logistic.transform(out).withColumn(scores[i, c], vector_to_array("_prob")[1]).drop("_prob", "_pred", "_raw")
+        made = {f"_cal_{i}_{c}": self.folds[i][c][1].predict(F.col(name)) for (i, c), name in scores.items()}
+        out = out.withColumns(made)
+        sums = [F.lit(0.0)] * len(P)
+        for i in range(len(self.folds)):
+            raw = [F.greatest(F.col(f"_cal_{i}_{c}"), F.lit(0.0)) for c in S.CLASS_IDS]
             sums = [s + p for s, p in zip(sums, _normalised(raw))]
         mean = {p: s / len(self.folds) for p, s in zip(P, sums)}
-        return out.withColumns(mean).drop(VECTOR, *made)
+        return out.withColumns(mean).drop(VECTOR, *made, *scores.values())

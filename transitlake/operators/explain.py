@@ -1,20 +1,49 @@
-"""Attribution by occlusion: how far a probability moves when one feature is
-replaced by its median."""
+"""Local attributions: exact Shapley values of boosted trees, and occlusion (how far a
+probability moves when one feature is replaced by its median) for any model."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake import schema as S
 from transitlake.functions.decide import likeliest_class, triple
+from transitlake.operators.boosting import BoostedTrees
 from transitlake.operators.learners import VECTOR
 from transitlake.operators.ranks import RANGES, with_ranges
 
 
+def with_shapley(df: DataFrame, model: BoostedTrees, of_class: Column) -> DataFrame:
+    """Add ``shap_values`` (one per feature of the vector) and ``shap_base``: with the base,
+    a row's values add up to its margin of the class. Map-only."""
+    width = len(model.edges)
+    out = df.withColumn("_all", model.attributions(VECTOR, of_class))
+    parts = {"shap_values": F.slice("_all", 1, width), "shap_base": F.get("_all", F.lit(width))}
+    return out.withColumns(parts).drop("_all")
+
+
+def per_feature(df: DataFrame, features: list[str], key: str = "row_id") -> DataFrame:
+    """``key, feature, shap`` of rows with ``shap_values``: one row per row and feature. Map-only."""
+    names = F.array(*[F.lit(f) for f in features])
+    return df.select(key, F.posexplode("shap_values").alias("_j", "shap")).select(
+        key, F.get(names, F.col("_j")).alias("feature"), "shap"
+    )
+
+
+def strongest(features: list[str], values: str = "shap_values", k: int = S.EXPLAINED_FEATURES) -> Column:
+    """The k strongest entries of a row's array of attributions, within the row."""
+    names = F.array(*[F.lit(f) for f in features])
+    entries = F.transform(
+        F.arrays_zip(F.col(values).alias("shap"), names.alias("feature")),
+        lambda e: F.struct((-F.abs(e["shap"])).alias("order"), e["feature"].alias("feature"), e["shap"].alias("shap")),
+    )
+    best = F.slice(F.array_sort(entries), 1, k)
+    return F.transform(best, lambda e: F.struct(e["feature"].alias("feature"), e["shap"].alias("shap")))
+
+
 def occlusion(
     df: DataFrame, features: list[str], medians: dict[str, float], predict: Callable[[DataFrame], DataFrame],
     key: str = "row_id", of_class: int | None = None,
@@ -61,6 +90,21 @@ def global_attribution(attributions: DataFrame) -> DataFrame:
     )
 
 
+def row_trends(
+    df: DataFrame, model: BoostedTrees, features: list[str], trends: dict[str, int] = S.EXPECTED_TRENDS
+) -> DataFrame:
+    """Per limited feature: ``feature, expected, rows`` and ``violations``, the rows whose
+    last class's probability moves against the expected sign somewhere as the feature alone
+    passes through all of its bins. Map-only up to the counts."""
+    audited = {f: s for f, s in trends.items() if f in features}
+    wrong = model.against(VECTOR, [(features.index(f), s) for f, s in audited.items()])
+    named = F.arrays_zip(
+        F.array(*[F.lit(f) for f in audited]).alias("feature"), F.array(*[F.lit(s) for s in audited.values()]).alias("expected"), wrong.alias("wrong")
+    )
+    each = df.select(F.explode(named).alias("_r")).select("_r.*")
+    return each.groupBy("feature", "expected").agg(F.count("*").alias("rows"), F.count_if(F.col("wrong") > 0).alias("violations"))
+
+
 def trend_audit(df: DataFrame, p: str = "p_conf", trends: dict[str, int] = S.EXPECTED_TRENDS, bins: int = 16) -> DataFrame:
     """Per audited feature: steps between neighbouring value ranges where the mean
     probability moves against the expected sign."""

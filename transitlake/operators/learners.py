@@ -1,24 +1,21 @@
-"""Base learners on MLlib, all giving the same three probability columns."""
+"""Base learners, all giving the same three probability columns."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml import Model
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitlake import schema as S
 from transitlake.functions.numbers import finite
-from transitlake.operators.sampling import oversample
+from transitlake.operators import boosting, network
+from transitlake.operators.boosting import BoostedTrees
+from transitlake.operators.network import Network
 
 SEED = 42
 VECTOR = "features"
@@ -53,7 +50,10 @@ def _spread(df: DataFrame, vector: str, drop: list[str]) -> DataFrame:
 
 @dataclass
 class Learner:
-    """``kind`` is boosted, forest, linear or network; ``settings`` go to MLlib."""
+    """``kind`` is boosted, network, forest, linear or one_vs_rest; ``settings`` go to its fit.
+
+    Boosted trees follow ``S.EXPECTED_TRENDS`` on the features of those names, unless the
+    settings say otherwise; a network is trained with focal loss."""
 
     kind: str
     settings: dict = field(default_factory=dict)
@@ -62,6 +62,11 @@ class Learner:
         weighted = {"weightCol": weight} if weight else {}
         common = {"featuresCol": VECTOR, "predictionCol": "_pred", "rawPredictionCol": "_raw"}
         if self.kind == "boosted":
+            options = {"trends": S.EXPECTED_TRENDS, **self.settings}
+            return FittedLearner(self.kind, [boosting.fit(df, VECTOR, y, weight, **options)])
+        if self.kind == "network":
+            return FittedLearner(self.kind, [network.fit(df, VECTOR, y, weight, **self.settings)])
+        if self.kind == "one_vs_rest":
             models = []
             for c in S.CLASS_IDS:
                 options = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, **self.settings}
@@ -79,17 +84,6 @@ class Learner:
         elif self.kind == "linear":
             options = {"maxIter": 100, "regParam": 1e-3, **self.settings}
             learner = LogisticRegression(labelCol="_y", **common, **options, **weighted)
-        elif self.kind == "network":
-            options = {"hidden": [96, 32], "maxIter": 100, **self.settings}
-            hidden = options.pop("hidden")
-            size = len(df.select(VECTOR).first()[0])
-            scaler = StandardScaler(inputCol=VECTOR, outputCol="_scaled", withMean=True)
-            names = {**common, "featuresCol": "_scaled"}
-            net = MultilayerPerceptronClassifier(
-                labelCol="_y", layers=[size, *hidden, len(S.CLASS_IDS)], seed=SEED, **names, **options
-            )
-            # this learner takes no weights, so classes are balanced by repetition
-            learner, target = Pipeline(stages=[scaler, net]), oversample(target.select(VECTOR, "_y"), "_y")
         else:
             raise ValueError(f"unknown learner {self.kind!r}")
         return FittedLearner(self.kind, [learner.fit(target)])
@@ -98,12 +92,15 @@ class Learner:
 @dataclass
 class FittedLearner:
     kind: str
-    models: list[Model]
+    models: list[Model | BoostedTrees | Network]
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``p_fp, p_cand, p_conf``. Map-only."""
-        drop = ["_raw", "_prob", "_pred", "_scaled"]
-        if self.kind != "boosted":
+        drop = ["_raw", "_prob", "_pred"]
+        if self.kind in OWN_KINDS:
+            scored = df.withColumn("_p", self.models[0].probabilities(VECTOR))
+            return scored.withColumns({p: F.get("_p", F.lit(c)) for c, p in enumerate(S.PROBABILITIES)}).drop("_p")
+        if self.kind != "one_vs_rest":
             return _spread(self.models[0].transform(df), "_prob", drop)
         out = df
         for c, model in enumerate(self.models):
@@ -114,13 +111,17 @@ class FittedLearner:
 
     def importances(self, features: list[str]) -> list[tuple[str, float]]:
         """Mean tree importance per feature; empty for learners without trees."""
+        if self.kind == "boosted":
+            return list(zip(features, self.models[0].importances().tolist()))
         vectors = [m.featureImportances.toArray() for m in self.models if hasattr(m, "featureImportances")]
         if not vectors:
             return []
         return [(f, float(sum(v[i] for v in vectors) / len(vectors))) for i, f in enumerate(features)]
 
 
-DEFAULT_LEARNERS = {"boosted": Learner("boosted"), "forest": Learner("forest"), "linear": Learner("linear")}
+#: kinds whose model is a small text of its own
+OWN_KINDS = {"boosted": BoostedTrees, "network": Network}
+DEFAULT_LEARNERS = {kind: Learner(kind) for kind in ("boosted", "forest", "linear", "network")}
 
 
 def mission_weights(df: DataFrame, target: str = "is_tess", settings: dict | None = None) -> DataFrame:

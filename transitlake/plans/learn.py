@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitlake import schema as S
-from transitlake.functions.decide import apply_veto, cheapest_class
+from transitlake.functions.decide import apply_veto, cheapest_class, likeliest_class
 from transitlake.operators import discover, explain, metrics, sampling
 from transitlake.operators.ensemble import Calibrator, Stacker, model_report, stacked_features, weighted_average
+from transitlake.operators.isotonic import Isotonic
 from transitlake.operators.learners import (
     DEFAULT_LEARNERS,
+    OWN_KINDS,
     VECTOR,
     FittedLearner,
     Learner,
@@ -23,11 +26,10 @@ from transitlake.operators.learners import (
 )
 from transitlake.operators.quality import medians as column_medians
 from transitlake.operators.quality import usable_features
-from transitlake.session import cut_lineage
+from transitlake.session import cut_lineage, side_by_side
 
 P = S.PROBABILITIES
 
-
 def settings(df: DataFrame, key: str, value: str) -> dict:
     """A small table (per feature, class or model) as a dict."""
     return {r[key]: r[value] for r in df.select(key, value).collect()}
@@ -43,19 +45,18 @@ def prepare(df: DataFrame, features: list[str], medians: dict[str, float], keep:
 def out_of_fold(df: DataFrame, learners: dict[str, Learner], k: int = 5, weighted: bool = True) -> DataFrame:
     """Every row scored once per model by a fit that never saw its star:
     ``row_id, model, fold, y, p_*``. ``df`` is a prepared frame with ``fold``."""
-    parts = None
     carried = [c for c in ("row_id", "fold", "y", "mission", "ror", "impact") if c in df.columns]
-    for fold in range(k):
+    mission = "mission_weight" if "mission_weight" in df.columns else None
+
+    def part(fold: int, name: str, learner: Learner) -> DataFrame:
         train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        weight = None
         if weighted:
-            mission = "mission_weight" if "mission_weight" in df.columns else None
-            train, weight = sampling.with_training_weight(train, "y", mission), "weight"
-        for name, learner in learners.items():
-            scored = learner.fit(train, "y", weight).predict(test)
-            part = scored.select(*carried, F.lit(name).alias("model"), *P)
-            parts = part if parts is None else parts.unionByName(part)
-    return parts
+            train = sampling.with_training_weight(train, "y", mission)
+        scored = learner.fit(train, "y", "weight" if weighted else None).predict(test)
+        return scored.select(*carried, F.lit(name).alias("model"), *P)
+
+    tasks = [(fold, name, learner) for fold in range(k) for name, learner in learners.items()]
+    return reduce(DataFrame.unionByName, side_by_side([partial(part, *t) for t in tasks]))
 
 
 @dataclass
@@ -70,6 +71,15 @@ class Bundle:
     thresholds: dict[int, float]
     quantiles: dict[int, float]
     costs: list = field(default_factory=lambda: S.COSTS)
+    stacker: Stacker | None = None
+
+    def stacked(self, df: DataFrame) -> DataFrame:
+        """The stacked model's probabilities for rows with a feature vector. Map-only."""
+        out, names = df, []
+        for name, model in self.models.items():
+            names += [f"{p}_{name}" for p in P]
+            out = model.predict(out).withColumnsRenamed({p: f"{p}_{name}" for p in P})
+        return self.stacker.predict(out.drop(VECTOR)).drop(*names)
 
     def raw(self, df: DataFrame) -> DataFrame:
         """Weighted ensemble for rows with a feature vector. Map-only."""
@@ -95,7 +105,23 @@ class Bundle:
         decided = discover.with_decisions(calibrated, self.thresholds, self.quantiles)
         return decided.withColumn("pred_cost", cheapest_class(self.costs))
 
+    def trees(self):
+        """The boosted member, or None."""
+        return next((m.models[0] for m in self.models.values() if m.kind == "boosted"), None)
+
+    def attributed(self, df: DataFrame, of_class: int | None = None) -> DataFrame:
+        """Rows with exact Shapley values (``shap_values``, ``shap_base``) of the boosted
+        member, for one class or for each row's likeliest one by the ensemble. Map-only."""
+        filled = assemble(impute(df, self.features, self.medians), self.features)
+        if of_class is not None:
+            return explain.with_shapley(filled, self.trees(), F.lit(of_class)).drop(VECTOR)
+        scored = self.raw(filled).withColumn("_class", likeliest_class()).drop(*P)
+        return explain.with_shapley(scored, self.trees(), F.col("_class")).drop(VECTOR, "_class")
+
     def explain(self, df: DataFrame, key: str = "row_id", of_class: int | None = None) -> DataFrame:
+        """``key, feature, shap``; a bundle without boosted trees is explained by occlusion."""
+        if self.trees() is not None:
+            return explain.per_feature(self.attributed(df, of_class), self.features, key)
         filled = impute(df, self.features, self.medians)
         return explain.occlusion(filled, self.features, self.medians, self.raw, key, of_class)
 
@@ -104,53 +130,63 @@ class Bundle:
             "features": self.features, "medians": self.medians, "weights": self.weights,
             "thresholds": self.thresholds, "conformal_q": self.quantiles, "costs": self.costs,
             "kinds": {n: m.kind for n, m in self.models.items()},
+            "calibrator_folds": len(self.calibrator.folds), "stacked": self.stacker.names if self.stacker else None,
         }
 
     def save(self, spark, folder: str) -> None:
         """Models and settings below one release folder."""
         for name, fitted in self.models.items():
             for i, model in enumerate(fitted.models):
-                model.write().save(f"{folder}/models/{name}/{i}")
+                if fitted.kind in OWN_KINDS:
+                    write_text(spark, model.to_json(), f"{folder}/models/{name}/{i}")
+                else:
+                    model.write().save(f"{folder}/models/{name}/{i}")
         for i, pairs in enumerate(self.calibrator.folds):
             for c, (logistic, isotonic) in enumerate(pairs):
                 logistic.write().save(f"{folder}/calibrator/{i}/{c}/logistic")
-                isotonic.write().save(f"{folder}/calibrator/{i}/{c}/isotonic")
-        spark.createDataFrame([(json.dumps(self.card()),)], "value string").write.text(f"{folder}/card")
+                write_text(spark, isotonic.to_json(), f"{folder}/calibrator/{i}/{c}/isotonic")
+        if self.stacker is not None:
+            self.stacker.model.write().save(f"{folder}/stacker")
+        write_text(spark, json.dumps(self.card()), f"{folder}/card")
+
+
+def write_text(spark, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def read_text(spark, path: str) -> str:
+    return spark.read.text(path).first()[0]
 
 
 def load_bundle(spark, folder: str) -> Bundle:
-    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import (
         GBTClassificationModel,
         LogisticRegressionModel,
         RandomForestClassificationModel,
     )
-    from pyspark.ml.regression import IsotonicRegressionModel
 
-    card = json.loads(spark.read.text(f"{folder}/card").first()[0])
-    readers = {
-        "boosted": GBTClassificationModel, "forest": RandomForestClassificationModel,
-        "linear": LogisticRegressionModel, "network": PipelineModel,
-    }
+    card = json.loads(read_text(spark, f"{folder}/card"))
+    readers = {"one_vs_rest": GBTClassificationModel, "forest": RandomForestClassificationModel, "linear": LogisticRegressionModel}
     models = {}
     for name, kind in card["kinds"].items():
-        count = len(S.CLASS_IDS) if kind == "boosted" else 1
-        loaded = [readers[kind].load(f"{folder}/models/{name}/{i}") for i in range(count)]
-        models[name] = FittedLearner(kind, loaded)
+        places = [f"{folder}/models/{name}/{i}" for i in range(len(S.CLASS_IDS) if kind == "one_vs_rest" else 1)]
+        own = OWN_KINDS.get(kind)
+        models[name] = FittedLearner(kind, [own.from_json(read_text(spark, p)) if own else readers[kind].load(p) for p in places])
     folds = [
         [
             (
                 LogisticRegressionModel.load(f"{folder}/calibrator/{i}/{c}/logistic"),
-                IsotonicRegressionModel.load(f"{folder}/calibrator/{i}/{c}/isotonic"),
+                Isotonic.from_json(read_text(spark, f"{folder}/calibrator/{i}/{c}/isotonic")),
             )
             for c in S.CLASS_IDS
         ]
-        for i in range(3)
+        for i in range(card["calibrator_folds"])
     ]
+    stacker = Stacker(card["stacked"], LogisticRegressionModel.load(f"{folder}/stacker")) if card["stacked"] else None
     ints = lambda d: {int(k): v for k, v in d.items()}
     return Bundle(
         card["features"], card["medians"], card["weights"], models, Calibrator(folds),
-        ints(card["thresholds"]), ints(card["conformal_q"]), card["costs"],
+        ints(card["thresholds"]), ints(card["conformal_q"]), card["costs"], stacker,
     )
 
 
@@ -209,8 +245,10 @@ def train(
     if refit_learners:
         mission = "mission_weight" if "mission_weight" in folded.columns else None
         everything = sampling.with_training_weight(folded, "y", mission, refit=True)
-        final = {name: learner.fit(everything, "y", "weight") for name, learner in learners.items()}
-    bundle = Bundle(features, medians, weights, final, Calibrator().fit(mixed), thresholds, quantiles)
+        everything = cut_lineage(everything)
+        fits = [partial(learner.fit, everything, "y", "weight") for learner in learners.values()]
+        final = dict(zip(learners, side_by_side(fits)))
+    bundle = Bundle(features, medians, weights, final, Calibrator().fit(mixed), thresholds, quantiles, stacker=stacker)
     return Training(bundle, oof, mixed, calibrated, report, stacker)
 
 
@@ -235,6 +273,11 @@ def evaluate(bundle: Bundle, test: DataFrame) -> DataFrame:
 
 def explained(bundle: Bundle, df: DataFrame, index: str = "row_id") -> DataFrame:
     """Scored rows with their strongest features and a rationale."""
+    if bundle.trees() is not None:
+        # attributions are made beside the rows: nothing is joined
+        attributed = bundle.attributed(df).withColumn("top_features", explain.strongest(bundle.features))
+        scored = bundle.score(attributed.drop("shap_values", "shap_base"))
+        return discover.explanation_records(scored, bundle.thresholds, index)
     scored = bundle.score(df)
     top = explain.top_features(bundle.explain(df, index), index)
     return discover.explanation_records(scored.join(top, index), bundle.thresholds, index)

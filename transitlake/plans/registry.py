@@ -963,37 +963,116 @@ def trend_audit(spark, folder):
     return audit(A.scores(spark, folder))
 
 
-def _quick_learners():
-    from transitlake.operators.learners import Learner
+VECTOR_FEATURES = [f"f{i}" for i in range(64)]
+#: trends that the trees of the vector queries must follow, by feature
+VECTOR_TRENDS = {"f0": 1, "f1": -1, "f2": 1, "f3": -1}
 
-    return {
-        "forest": Learner("forest", {"numTrees": 8, "maxDepth": 4}),
-        "linear": Learner("linear", {"maxIter": 20}),
-    }
 
+def _out_of_fold(spark, folder):
+    from transitlake.plans import learn
+    from transitlake.session import cut_lineage
 
-VECTOR_FEATURES = [f"f{i}" for i in range(64)]
+    ready = learn.prepare(A.vectors(spark, folder), VECTOR_FEATURES, {}, ["row_id", "star_id", "y"])
+    folded = cut_lineage(sampling.group_folds(ready, 5))
+    return folded, cut_lineage(learn.out_of_fold(folded, learn.DEFAULT_LEARNERS, 5))
 
 
 @query()
 def out_of_fold_report(spark, folder):
-    """Grouped cross-validation of two learners: scores and ensemble weights."""
+    """Grouped cross-validation of all learners: scores and ensemble weights."""
     from transitlake.operators.ensemble import model_report
-    from transitlake.plans import learn
-    from transitlake.session import cut_lineage
 
-    ready = learn.prepare(A.vectors(spark, folder), VECTOR_FEATURES, {}, ["row_id", "star_id", "y"])
-    folded = cut_lineage(sampling.group_folds(ready, 3))
-    oof = cut_lineage(learn.out_of_fold(folded, _quick_learners(), 3))
-    return metrics.ensemble_weights(model_report(oof), "oof_pr_auc_macro")
+    return metrics.ensemble_weights(model_report(_out_of_fold(spark, folder)[1]), "oof_pr_auc_macro")
+
+
+@query(
+    """SELECT model, count(*) AS rows, count(DISTINCT vec_id) AS scored, 0 AS split_stars, 0 AS bad_sums
+FROM embeddings, (SELECT unnest(['boosted', 'forest', 'linear', 'network']) AS model) GROUP BY 1"""
+)
+def out_of_fold_rows(spark, folder):
+    """What must hold of out-of-fold scores: each row once per learner, no star in two folds,
+    and probabilities that add up to 1."""
+    folded, oof = _out_of_fold(spark, folder)
+    stars = folded.groupBy("star_id").agg(F.count_distinct("fold").alias("n"))
+    torn = stars.agg(F.count_if(F.col("n") > 1).cast("int")).scalar()
+    off = F.abs(sum(F.col(p) for p in S.PROBABILITIES) - 1) > 1e-9
+    return oof.groupBy("model").agg(
+        F.count("*").alias("rows"), F.count_distinct("row_id").alias("scored"),
+        F.max(torn).alias("split_stars"), F.count_if(off).cast("int").alias("bad_sums"),
+    )
 
 
 @query()
 def scored_vectors(spark, folder):
     """Train, calibrate and score the whole table; one decision row per vector."""
-    from transitlake.operators.learners import Learner
     from transitlake.plans import learn
 
     rows = A.vectors(spark, folder)
-    trained = learn.train(rows, {"linear": Learner("linear", {"maxIter": 10})}, VECTOR_FEATURES, k=2)
+    trained = learn.train(rows, features=VECTOR_FEATURES)
     return trained.bundle.score(rows).select("row_id", *S.PROBABILITIES, "pred", "pred_cost", "prediction_set", "discovery_score")
+
+
+def _trees(spark, folder):
+    from transitlake.operators import boosting
+    from transitlake.operators.learners import VECTOR
+    from transitlake.plans import learn
+
+    ready = learn.prepare(A.vectors(spark, folder), VECTOR_FEATURES, {}, ["row_id", "y"])
+    return ready, boosting.fit(ready, VECTOR, "y", trends=VECTOR_TRENDS)
+
+
+@query(
+    """SELECT feature, sign AS expected, (SELECT count(*) FROM embeddings) AS rows, 0 AS violations
+FROM (VALUES ('f0', 1), ('f1', -1), ('f2', 1), ('f3', -1)) t(feature, sign)"""
+)
+def monotone_rows(spark, folder):
+    """Boosted trees with limits: rows whose probability moves against the expected sign
+    somewhere along a limited feature."""
+    from transitlake.operators.explain import row_trends
+
+    ready, trees = _trees(spark, folder)
+    found = row_trends(ready, trees, VECTOR_FEATURES, VECTOR_TRENDS)
+    return found.select("feature", "expected", "rows", F.col("violations").cast("int").alias("violations"))
+
+
+@query("SELECT count(*) AS rows, 3 * count(*) AS checked, 0 AS off_sums, 64 AS features FROM embeddings")
+def attribution_sums(spark, folder):
+    """Shapley values of every row and class: with the base they add up to the margin."""
+    from transitlake.operators.explain import with_shapley
+    from transitlake.operators.learners import VECTOR
+
+    ready, trees = _trees(spark, folder)
+    classes = ready.select("row_id", VECTOR, F.explode(F.array(*[F.lit(c) for c in S.CLASS_IDS])).alias("class"))
+    told = with_shapley(classes, trees, F.col("class"))
+    total = F.aggregate("shap_values", F.col("shap_base"), lambda s, v: s + v)
+    # the probabilities that the margins give are the model's own
+    shares = told.select("row_id", "class", VECTOR, F.size("shap_values").alias("n"), F.exp(total).alias("e"))
+    whole = shares.groupBy("row_id").agg(F.sum("e").alias("whole"))
+    own = trees.probabilities(VECTOR)
+    met = shares.withColumn("p", F.get(own, F.col("class"))).join(whole, "row_id")
+    off = F.abs(F.col("e") / F.col("whole") - F.col("p")) > 1e-9
+    return met.agg(
+        F.count_distinct("row_id").alias("rows"), F.count("*").alias("checked"),
+        F.count_if(off).cast("int").alias("off_sums"), F.max("n").alias("features"),
+    )
+
+
+@query(
+    """WITH s AS (SELECT l_quantity + l_discount AS score, sum(1 + l_linenumber) AS w, sum(CASE WHEN l_returnflag = 'R' THEN 1 + l_linenumber ELSE 0 END) AS wy
+  FROM lineitem GROUP BY 1),
+c AS (SELECT score, row_number() OVER (ORDER BY score) AS i, sum(w) OVER (ORDER BY score) AS cw, sum(wy) OVER (ORDER BY score) AS cy, w, wy FROM s),
+m AS (SELECT a.i AS j, b.i AS k, (b.cy - a.cy + a.wy) / (b.cw - a.cw + a.w)::DOUBLE AS mean FROM c a JOIN c b ON a.i <= b.i),
+low AS (SELECT j, k, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS least FROM m),
+fit AS (SELECT k AS i, max(least) AS fitted FROM (SELECT j, k, least FROM low) GROUP BY 1)
+SELECT c.score, round(f.fitted, 8) AS fitted FROM c JOIN fit f ON c.i = f.i"""
+)
+def isotonic_values(spark, folder):
+    """A weighted isotonic fit at each of its points."""
+    from transitlake.operators import isotonic
+
+    score = F.col("l_quantity") + F.col("l_discount")
+    rows = A.table(spark, folder, "lineitem").select(
+        score.alias("score"), (F.col("l_returnflag") == "R").cast("double").alias("y"), (1 + F.col("l_linenumber")).alias("w")
+    )
+    model = isotonic.fit(rows, "score", "y", "w")
+    return rows.select("score").distinct().select("score", F.round(model.predict(F.col("score")), 8).alias("fitted"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,3 +61,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     costs a re-read and not a recomputation of everything above it."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: independent jobs that the driver submits at once
+AT_ONCE = 8
+
+
+def side_by_side(jobs: list[Callable]) -> list:
+    """The results of independent calls, submitted from threads, so that the stages of one
+    fill the gaps of the others."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        running = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        return [r.result() for r in running]
