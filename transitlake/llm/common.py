@@ -12,7 +12,7 @@ from transitlake.session import checkpoint_folder
 #: a word: a run of characters other than the six ASCII blanks
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows and bytes that one Arrow batch may hold, so that a Python worker's memory is bounded
-BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
