@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from transitlake import schema as S
 from transitlake.functions import decide
-from transitlake.operators import dedup, discover, metrics, ranks, releases, sampling, skymatch
+from transitlake.operators import dedup, discover, metrics, quality, ranks, releases, sampling, skymatch
 
 
 def triples(rows, n=400, seed=1, levels=12):
@@ -287,3 +287,72 @@ def test_cluster_without_a_shared_folder_is_an_error():
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_folder(session)
+
+
+def test_balanced_folds_beat_the_hash_deal(spark):
+    rng = random.Random(4)
+    rows = []
+    for star in range(2000):
+        kind = rng.random()
+        for _ in range(rng.choice([1, 1, 2, 5, 40 if kind > 0.95 else 3])):
+            rows.append((len(rows), f"s{star}" if star else None, rng.choice([0, 1, 2]) if kind < 0.5 else int(kind > 0.9)))
+    rows += [(10_000, "lonely", None), (10_001, "s1", None)]
+    df = spark.createDataFrame(rows, "row_id int, star_id string, y int")
+    folded = sampling.balanced_folds(df, 5).collect()
+    assert sorted(r.row_id for r in folded) == [r[0] for r in rows]
+    of_star = {}
+    for r in folded:
+        assert of_star.setdefault(r.star_id, r.fold) == r.fold
+
+    def worst(found):
+        out = 0
+        for c in (0, 1, 2):
+            whole = sum(r.y == c for r in found)
+            out = max([out, *(abs(sum(r.y == c and r.fold == f for r in found) / whole - 0.2) for f in range(5))])
+        return out
+
+    assert worst(folded) < 0.01 < worst(sampling.group_folds(df, 5).collect())
+    again = {r.row_id: r.fold for r in sampling.balanced_folds(df.repartition(7), 5).collect()}
+    assert again == {r.row_id: r.fold for r in folded}
+    assert sampling.balanced_folds(df.limit(0), 5).count() == 0
+
+
+def test_pages_read_one_range(spark, tmp_path):
+    from transitlake.operators.pages import PageIndex, build_index
+
+    rows = [(i, (i * 7919) % 1000 / 10 if i % 50 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, score double")
+    order = [F.col("score").desc_nulls_last(), F.col("id").asc()]
+    index = build_index(df, order, str(tmp_path / "pages"), 100)
+    want = [r.id for r in df.orderBy(*order).collect()]
+    for number, size in ((1, 10), (7, 33), (31, 33), (100, 10), (101, 10), (1, 5000)):
+        got = PageIndex(spark, str(tmp_path / "pages")).page(number, size).orderBy("rank").collect()
+        assert [r.id for r in got] == want[(number - 1) * size : number * size]
+        assert all(r.total == 1000 for r in got) and [r["rank"] for r in got] == list(range((number - 1) * size + 1, (number - 1) * size + 1 + len(got)))
+    assert len(index.parts) > 5 and index.total == 1000
+    files = {r[0] for r in index.page(90, 10).select(F.input_file_name()).distinct().collect()}
+    assert len(files) == 1
+    assert build_index(df.limit(0), order, str(tmp_path / "none")).page(1, 10).count() == 0
+
+
+def test_fingerprint_of_any_layout(spark):
+    rows = [(1, 1.5, "a", True), (2, None, "", None), (2, None, "", None), (3, -1e-30, "é|~", False), (4, 1e300, None, True), (5, float("nan"), "5:x", True)]
+    schema = "a int, b double, c string, d boolean"
+    base = tuple(quality.fingerprint(spark.createDataFrame(rows, schema)).first())
+    other = spark.createDataFrame(rows[::-1], schema).repartition(4).select("d", "b", "a", "c")
+    assert tuple(quality.fingerprint(other).first()) == base
+    for change in (rows[1:], [*rows, rows[1]], [(1, 1.5000000000000002, "a", True), *rows[1:]], [(1, 1.5, "a", False), *rows[1:]]):
+        assert tuple(quality.fingerprint(spark.createDataFrame(change, schema)).first()) != base
+    assert quality.fingerprint(spark.createDataFrame([], schema)).first()["rows"] == 0
+
+
+def test_hold_out_without_stars_is_stratified(spark):
+    df = spark.createDataFrame([(i, 0 if i < 100 else 1 if i < 900 else None) for i in range(1000)], "id int, y int")
+    split = sampling.hold_out(df)
+    counts = {(r["y"], r["split"]): r["count"] for r in split.groupBy("y", "split").count().collect()}
+    assert counts[0, "test"] == 15 and counts[1, "test"] == 120 and counts[None, "test"] == 15 and sum(counts.values()) == 1000
+
+
+def test_histogram_of_a_constant(spark):
+    got = {r["bin"]: r for r in quality.histogram(spark.range(7).selectExpr("3.0D AS v"), ["v"], 4).collect()}
+    assert got[2]["n"] == 7 and (got[0]["bin_from"], got[3]["bin_to"]) == (2.5, 3.5)

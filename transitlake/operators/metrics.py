@@ -128,6 +128,14 @@ def mission_metrics(df: DataFrame, y: str = "y") -> DataFrame:
     return joined.select("mission", "rows", "pr_auc_macro")
 
 
+def mission_class_metrics(df: DataFrame, y: str = "y") -> DataFrame:
+    """Average precision of every class per mission, beside the mission's rows."""
+    scores = average_precision(score_table(df, ["mission"], y), ["mission"])
+    rows = df.groupBy(F.col("mission").alias("_of")).agg(F.count("*").alias("rows"))
+    joined = scores.join(rows, F.col("mission").eqNullSafe(F.col("_of")))
+    return joined.select("mission", "class", "rows", "average_precision")
+
+
 def class_weights(df: DataFrame, y: str = "y", by: list[str] | None = None) -> DataFrame:
     """Balanced weights ``n / (k * n_class)``: ``by..., y, n, weight``."""
     whole = Window.partitionBy(*(by or []))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitlake import schema as S
@@ -76,19 +76,20 @@ def medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> D
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 50) -> DataFrame:
-    """Equal-width bins between minimum and maximum; the last bin is closed.
-    Empty bins are listed with a zero count."""
-    ranges = df.agg(
-        F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]).alias("r")
-    )
+    """Equal-width bins between minimum and maximum, which for a constant column are set
+    half a unit apart from it; the last bin is closed. Empty bins are listed with a zero
+    count."""
+    apart = {c: F.when(F.min(c) == F.max(c), 0.5).otherwise(0.0) for c in columns}
+    ends = [F.struct((F.min(c) - apart[c]).alias("lo"), (F.max(c) + apart[c]).alias("hi")).alias(c) for c in columns]
+    ranges = df.agg(F.struct(*ends).alias("r"))
     placed = df.select(*columns).withColumn("_r", ranges.scalar())
 
     def place(c: str):
         lo, hi = F.col("_r")[c]["lo"], F.col("_r")[c]["hi"]
-        at = F.floor(F.try_divide((F.col(c) - lo) * bins, hi - lo))
+        at = F.floor((F.col(c) - lo) * bins / (hi - lo))
         return F.struct(
             F.lit(c).alias("column"),
-            F.when(F.col(c).isNotNull(), F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0))).cast("int").alias("bin"),
+            F.when(F.col(c).isNotNull(), F.least(at, F.lit(bins - 1))).cast("int").alias("bin"),
         )
 
     counted = (
@@ -138,13 +139,50 @@ def drop_log(df: DataFrame) -> DataFrame:
     )
 
 
+def cell_text(name: str, kind: str) -> Column:
+    """A cell as a text that any engine can make: null is ``~``, a text has its length before
+    it, days and microseconds stand for dates and times, and a number is its whole part and
+    two more digits in base 2^62, so that doubles are told apart down to 2^-124."""
+    c = F.col(f"`{name}`")
+    if kind == "string":
+        shown = F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    elif kind == "boolean":
+        shown = c.cast("int").cast("string")
+    elif kind == "date":
+        shown = F.unix_date(c).cast("string")
+    elif kind in ("timestamp", "timestamp_ntz"):
+        shown = F.unix_micros(c.cast("timestamp")).cast("string")
+    elif kind in ("float", "double"):
+        size = F.abs(c.cast("double"))
+        big = size >= 2.0**62
+        size = F.when(big, size * 2.0**-62).otherwise(size)
+        whole = F.floor(size)
+        first = F.floor((size - whole) * 2.0**62)
+        second = F.floor(((size - whole) * 2.0**62 - first) * 2.0**62)
+        mark = F.concat(F.when(c < 0, "-").otherwise(""), F.when(big, "b").otherwise(""))
+        exact = F.concat(mark, F.concat_ws(".", *[x.cast("string") for x in (whole, first, second)]))
+        # beyond 2^124 a double is a name of its own
+        shown = F.when(F.isnan(c), "nan").when(F.abs(c.cast("double")) >= 2.0**124, c.cast("double").cast("string")).otherwise(exact)
+    elif kind.startswith(("array", "map", "struct")):
+        shown = F.to_json(c)
+    elif kind == "binary":
+        shown = F.hex(c)
+    else:
+        shown = c.cast("string")
+    return F.coalesce(shown, F.lit("~"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content hash; merges map-side to one row."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.agg(
+    """``rows, digest_high, digest_low``: the sums of both halves of every row's md5, as texts.
+
+    Equal under row order, partitioning, file layout and column order; merges map-side to
+    one row, and repeated rows count."""
+    kinds = dict(df.dtypes)
+    row = F.md5(F.concat_ws("|", *[cell_text(c, kinds[c]) for c in sorted(df.columns)]).cast("binary"))
+    half = lambda start: F.conv(F.substring(row, start, 16), 16, 10).cast("decimal(20,0)")
+    return df.select(half(1).alias("high"), half(17).alias("low")).agg(
         F.count("*").alias("rows"),
-        F.bit_xor(row).alias("xor_hash"),
-        F.sum(row.cast("decimal(38,0)")).alias("sum_hash"),
+        *[F.coalesce(F.sum(c).cast("decimal(38,0)"), F.lit(0)).cast("string").alias(f"digest_{c}") for c in ("high", "low")],
     )
 
 

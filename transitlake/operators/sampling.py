@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from transitlake import schema as S
 from transitlake.functions.numbers import clip, finite, mean_of_present, optional, sigmoid
 from transitlake.operators.metrics import class_weights
-from transitlake.operators.ranks import attach, exact_ranks
+from transitlake.operators.ranks import attach, exact_ranks, running_totals
+from transitlake.session import cut_lineage
 
 SEED = 42
 
@@ -46,14 +48,80 @@ def group_folds(
     return df.join(of_star, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
+#: distinct class counts of stars that the dealing may look at
+MOST_SIGNATURES = 200_000
+
+
+def dealt_remainders(signatures: list[tuple[tuple[int, ...], int]], k: int) -> list[list[int]]:
+    """For each (class counts, stars): the folds of the stars left over when the others are
+    dealt out evenly. Large stars go first; each goes to the fold whose class counts then
+    stray least from even shares, no two of one signature to the same fold."""
+    classes = len(signatures[0][0]) if signatures else 0
+    whole = [max(1, sum(s[c] * m for s, m in signatures)) for c in range(classes)]
+    held = [[sum(s[c] * (m // k) for s, m in signatures) for c in range(classes)] for _ in range(k)]
+    rows = [sum(h) for h in held]
+    out: list[list[int]] = [[] for _ in signatures]
+    for i in sorted(range(len(signatures)), key=lambda i: (-sum(signatures[i][0]), signatures[i])):
+        counts, stars = signatures[i]
+        for _ in range(stars % k):
+            def stray(f: int) -> tuple[float, int, int]:
+                # growth of the summed squared shares, which even folds make least
+                return sum(((held[f][c] + counts[c]) / whole[c]) ** 2 - (held[f][c] / whole[c]) ** 2 for c in range(classes)), rows[f], f
+
+            fold = min((f for f in range(k) if f not in out[i]), key=stray)
+            out[i].append(fold)
+            rows[fold] += sum(counts)
+            held[fold] = [a + b for a, b in zip(held[fold], counts)]
+    return out
+
+
+def balanced_folds(
+    df: DataFrame, k: int = 5, group: str = "star_id", y: str = "y", classes: list[int] = S.CLASS_IDS, seed: int = SEED, name: str = "fold"
+) -> DataFrame:
+    """Add a fold number: all rows of a star share it, and every class is spread over the
+    folds in nearly equal shares.
+
+    Stars are reduced to their class counts. The stars of one such signature are dealt out in
+    hash order, ``k`` at a time; where the few left over go is decided on the table of
+    signatures, which grows with the variety of stars and not with the rows. Rows without a
+    class count for nothing, rows without a star are one star.
+    """
+    spark = df.sparkSession
+    counts = {f"_n{c}": F.count_if(F.col(y) == c) for c in classes}
+    stars = cut_lineage(df.groupBy(F.col(group).alias("_star")).agg(*[v.alias(n) for n, v in counts.items()]))
+    named = list(counts)
+    found = stars.groupBy(*named).agg(F.count("*").alias("_m")).limit(MOST_SIGNATURES + 1).collect()
+    if len(found) > MOST_SIGNATURES:
+        raise ValueError(f"stars have more than {MOST_SIGNATURES} different class counts")
+    signatures = sorted((tuple(r[n] for n in named), r["_m"]) for r in found)
+    extra = dealt_remainders(signatures, k)
+    rows = [(*s, m - m % k, e) for (s, m), e in zip(signatures, extra)]
+    table = spark.createDataFrame(rows, ", ".join([*(f"_s{n} long" for n in named), "_even long", "_extra array<int>"]))
+    hashed = stars.withColumn("_hash", dealt_hash(F.col("_star"), F.lit(seed)))
+    slots = exact_ranks(hashed.select(*named, "_hash").distinct(), named, "_hash").withColumnsRenamed({"_hash": "_h", **{n: f"_r{n}" for n in named}})
+    ranked = hashed.join(slots, [*[F.col(n) == F.col(f"_r{n}") for n in named], F.col("_hash") == F.col("_h")])
+    met = ranked.join(F.broadcast(table), [F.col(n) == F.col(f"_s{n}") for n in named])
+    at = F.col("rank") - 1
+    fold = F.when(at < F.col("_even"), F.pmod(at, F.lit(k))).otherwise(F.get("_extra", (at - F.col("_even")).cast("int")))
+    # two stars of one hash share a rank: the last ranks are then not reached, none is left out
+    dealt = met.select("_star", F.coalesce(fold, F.lit(0)).cast("int").alias(name))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("_star"))).drop("_star")
+
+
 def hold_out(df: DataFrame, parts: int = 7, group: str = "star_id", y: str = "y", seed: int = SEED) -> DataFrame:
-    """Add ``split``: about one star in ``parts`` goes to ``test``. Without a
-    group column rows are dealt by a content hash, 15 in 100."""
+    """Add ``split``: about one star in ``parts`` goes to ``test``. Without a group column 15
+    in 100 rows of every class do, in the order of a content hash; equal rows stay together."""
     if group in df.columns:
         folds = group_folds(df, parts, group, y, seed, "_part")
         return folds.withColumn("split", F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
-    share = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(100))
-    return df.withColumn("split", F.when(share < 15, "test").otherwise("train"))
+    # every class gives up its own 15 in 100: content hashes are ranked inside the class
+    marked = df.withColumn("_content", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)))
+    sizes = marked.groupBy(y, "_content").agg(F.count("*").alias("_rows"))
+    runs = running_totals(sizes, [y], "_content", ["_rows"])
+    split = F.when(F.col("_rows_run") <= F.floor(F.col("_rows_all") * 0.15 + 0.5), "test").otherwise("train")
+    dealt = runs.select(F.col(y).alias("_of_class"), F.col("_content").alias("_of_content"), split.alias("split"))
+    same = F.col(y).eqNullSafe(F.col("_of_class")) & (F.col("_content") == F.col("_of_content"))
+    return marked.join(dealt, same).drop("_content", "_of_class", "_of_content")
 
 
 def oversample(

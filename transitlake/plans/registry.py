@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from transitlake.operators import dedup, discover, filters, metrics, quality, re
 from transitlake.plans import adapters as A
 from transitlake.plans import oracle_parts as Q
 from transitlake.plans.build import enrich, unify
-from transitlake.session import tune
+from transitlake.session import checkpoint_folder, cut_lineage, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,6 +169,17 @@ def physics_features(spark, folder):
     return physical.select(*A.LINE_KEY, *rounded(*PHYSICS_OUT, "eqt_K"), *flags)
 
 
+@query(
+    f"""WITH {Q.FEEDS}, {Q.LABELS}, {Q.BUNDLES}
+SELECT {Q.ALLKEYS}, round(depth_ppm / nullif(depth_ppm_err_mean, 0), 6) AS bls_sn_proxy,
+       round(coalesce(depth_ppm / nullif(depth_ppm_err_mean, 0), 0), 6) AS bls_sn_filled FROM bundles"""
+)
+def snr_proxies(spark, folder):
+    """Signal over noise from the depth, missing or as 0."""
+    rows = add_physics(featured(spark, folder))
+    return rows.select(*A.LINE_KEY, r("bls_sn_proxy").alias("bls_sn_proxy"), F.round(F.coalesce("bls_sn_proxy", F.lit(0.0)), 6).alias("bls_sn_filled"))
+
+
 @query(
     f"""WITH {Q.UNIFIED_STEPS} SELECT {Q.ALLKEYS}, mission, {sql_rounded('ror', 'impact', 'incl_deg')}
 FROM plausible"""
@@ -233,14 +245,16 @@ def feature_medians(spark, folder):
     return quality.medians(featured(spark, folder), MEDIANS).select("key", r("value").alias("value"))
 
 
-# depth_consistency is constant up to the last bits in these feeds: nothing to bin
-BINNED = ["period", "ror", "dur_frac", "depth_ppm"]
+BINNED = ["period", "ror", "dur_frac", "depth_consistency"]
+#: depth_consistency is constant up to its last bits in these feeds
+BINNED_SQL = {c: f"round({c}, 9)" if c == "depth_consistency" else c for c in BINNED}
 
 
 @query(
     f"""WITH {Q.FEEDS}, {Q.LABELS}, {Q.BUNDLES}, {Q.FEATURES},
-cells AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, {c} AS v FROM featured" for c in BINNED)}),
-e AS (SELECT col, min(v) AS lo, max(v) AS hi FROM cells GROUP BY col),
+cells AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, {v} AS v FROM featured" for c, v in BINNED_SQL.items())}),
+e AS (SELECT col, min(v) - CASE WHEN min(v) = max(v) THEN 0.5 ELSE 0 END AS lo, max(v) + CASE WHEN min(v) = max(v) THEN 0.5 ELSE 0 END AS hi
+      FROM cells GROUP BY col),
 b AS (SELECT col, CAST(least(floor((v - lo) * 50 / (hi - lo)), 49) AS INT) AS bin, count(*) AS n
       FROM cells JOIN e USING (col) WHERE v IS NOT NULL GROUP BY ALL)
 SELECT col AS "column", g.bin::INT AS bin, round(lo + (hi - lo) / 50 * g.bin, 6) AS bin_from,
@@ -248,7 +262,8 @@ SELECT col AS "column", g.bin::INT AS bin, round(lo + (hi - lo) / 50 * g.bin, 6)
 FROM e CROSS JOIN (SELECT unnest(range(50)) AS bin) g LEFT JOIN b USING (col, bin)"""
 )
 def quality_histogram(spark, folder):
-    bins = quality.histogram(featured(spark, folder), BINNED)
+    rows = featured(spark, folder).withColumn("depth_consistency", r("depth_consistency", 9))
+    bins = quality.histogram(rows, BINNED)
     return bins.select("column", "bin", *rounded("bin_from", "bin_to"), "n")
 
 
@@ -309,9 +324,33 @@ def unified_table(spark, folder):
     )
 
 
-@query()
+def number_text(c: str) -> str:
+    """SQL of the text that stands for a double in a fingerprint."""
+    whole, rest = f"floor(abs({c}))", f"(abs({c}) - floor(abs({c}))) * 4611686018427387904.0"
+    parts = [whole, f"floor({rest})", f"floor(({rest} - floor({rest})) * 4611686018427387904.0)"]
+    return f"CASE WHEN {c} < 0 THEN '-' ELSE '' END || " + " || '.' || ".join(f"{p}::BIGINT::VARCHAR" for p in parts)
+
+
+def text_of(c: str, kind: str) -> str:
+    shown = {
+        "double": number_text(c), "string": f"length({c}) || ':' || {c}", "time": f"epoch_us({c})::VARCHAR", "whole": f"{c}::VARCHAR",
+    }
+    return f"coalesce({shown[kind]}, '~')"
+
+
+LINE_KINDS = {
+    "l_discount": "double", "l_extendedprice": "double", "l_linenumber": "whole", "l_linestatus": "string", "l_orderkey": "whole",
+    "l_partkey": "whole", "l_quantity": "double", "l_returnflag": "string", "l_shipdate": "time", "l_suppkey": "whole", "l_tax": "double",
+}
+
+
+@query(
+    f"""WITH d AS (SELECT md5(concat_ws('|', {', '.join(text_of(c, k) for c, k in sorted(LINE_KINDS.items()))})) AS m FROM lineitem)
+SELECT count(*) AS rows, sum(('0x' || substr(m, 1, 16))::UBIGINT)::VARCHAR AS digest_high,
+       sum(('0x' || substr(m, 17, 16))::UBIGINT)::VARCHAR AS digest_low FROM d"""
+)
 def table_fingerprint(spark, folder):
-    return quality.fingerprint(A.feeds(spark, folder))
+    return quality.fingerprint(A.table(spark, folder, "lineitem"))
 
 
 @query(
@@ -477,6 +516,16 @@ def confusion_costs(spark, folder):
 AP_SQL = f"{Q.CLASS_SCORES}, {Q.curve()}"
 
 
+@query(
+    f"""WITH {Q.SCORES}, {Q.CLASS_SCORES}, {Q.curve('mission,')}
+SELECT mission, class, (SELECT count(*) FROM scores s WHERE s.mission = runs.mission) AS rows,
+       round(sum(own / own_all * (tp / seen)), 9) AS average_precision FROM runs GROUP BY mission, class"""
+)
+def mission_class_metrics(spark, folder):
+    found = metrics.mission_class_metrics(A.scores(spark, folder))
+    return found.select("mission", "class", "rows", r("average_precision", 9).alias("average_precision"))
+
+
 @query(
     f"""WITH {Q.SCORES}, {AP_SQL}
 SELECT class, round(sum(own / own_all * (tp / seen)), 9) AS average_precision FROM runs GROUP BY class"""
@@ -761,6 +810,19 @@ def candidate_page(spark, folder):
     return discover.page(_rated(spark, folder), order, 3, 50).select(*A.LINE_KEY, *RATED_OUT)
 
 
+@query(
+    f"""WITH {RATED_SQL} SELECT {Q.ALLKEYS}, {', '.join(RATED_OUT)}, row_number() OVER (ORDER BY {RANK_ORDER}) AS rank, count(*) OVER () AS total
+FROM rounded QUALIFY rank > 30000 AND rank <= 30100"""
+)
+def deep_candidate_page(spark, folder):
+    """Page 301 of 100 rows and the total, from a stored rank index."""
+    from transitlake.operators.pages import build_index
+
+    rows = _rated(spark, folder).select(*A.LINE_KEY, *RATED_OUT)
+    path = f"{checkpoint_folder(spark)}/pages-{uuid.uuid4().hex}"
+    return build_index(rows, discover.ranking(["star_id", *A.LINE_KEY]), path, 10_000).page(301, 100)
+
+
 @query(f"WITH {RATED_SQL} SELECT {Q.ALLKEYS}, {', '.join(RATED_OUT)} FROM rounded WHERE passes_gate")
 def gated_candidates(spark, folder):
     return filters.gated(_rated(spark, folder)).select(*A.LINE_KEY, *RATED_OUT)
@@ -861,6 +923,27 @@ def hold_out(spark, folder):
     return split.groupBy("split", "label_int").agg(F.count("*").alias("n"))
 
 
+@query("SELECT fold, 0 AS torn_stars, 0 AS uneven_classes FROM (SELECT unnest(range(5))::INT AS fold)")
+def balanced_folds(spark, folder):
+    """What must hold of stratified folds: no star in two of them, and each class within 1 %
+    of an even share in each."""
+    folded = cut_lineage(sampling.balanced_folds(A.scores(spark, folder).select("star_id", "y"), 5))
+    torn = folded.groupBy("star_id").agg(F.count_distinct("fold").alias("n")).agg(F.count_if(F.col("n") > 1)).scalar()
+    held = folded.groupBy("fold", "y").agg(F.count("*").alias("n"))
+    whole = folded.groupBy(F.col("y").alias("_y")).agg((F.count("*") / 5).alias("even"))
+    strays = held.join(F.broadcast(whole), F.col("y") == F.col("_y")).groupBy("fold")
+    return strays.agg(
+        F.max(torn).cast("int").alias("torn_stars"), F.count_if(F.abs(F.col("n") / F.col("even") - 1) > 0.01).cast("int").alias("uneven_classes")
+    )
+
+
+@query(f"WITH {Q.SCORES} SELECT y, count(*) AS rows, floor(count(*) * 0.15::DOUBLE + 0.5)::BIGINT AS test FROM scores GROUP BY y")
+def stratified_hold_out(spark, folder):
+    """A hold-out without a star column: 15 in 100 of every class."""
+    split = sampling.hold_out(A.scores(spark, folder).select(*A.LINE_KEY, "y"))
+    return split.groupBy("y").agg(F.count("*").alias("rows"), F.count_if(F.col("split") == "test").alias("test"))
+
+
 OVERSAMPLE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -970,7 +1053,6 @@ VECTOR_TRENDS = {"f0": 1, "f1": -1, "f2": 1, "f3": -1}
 
 def _out_of_fold(spark, folder):
     from transitlake.plans import learn
-    from transitlake.session import cut_lineage
 
     ready = learn.prepare(A.vectors(spark, folder), VECTOR_FEATURES, {}, ["row_id", "star_id", "y"])
     folded = cut_lineage(sampling.group_folds(ready, 5))
