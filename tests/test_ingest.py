@@ -37,6 +37,20 @@ def test_normalise_names(spark, tmp_path):
     assert (row["is_tess"], row["is_k2"], row["is_kepler"]) == (1, 0, 0)
 
 
+def test_contradicting_rows_are_rejected_and_counted(spark, tmp_path):
+    text = "star_id,period,ror,label_int,is_tess,is_k2\na,1.5,0.1,Candidate,1,0\nb,2.5,0.1,,0,1\nc,3.5,0.1,Candidate,1,1\nd,-1,0.1,Candidate,1,0\n"
+    table = ingest.IngestTable(spark, str(tmp_path / "table"))
+    table.append(upload(spark, tmp_path, text), 0)
+    table.append(upload(spark, tmp_path, text), 0)  # a replay changes nothing
+    assert [r["star_id"] for r in table.current().collect()] == ["a"]
+    rejects = spark.read.parquet(str(tmp_path / "table" / "rejects")).collect()
+    assert [(r["star_id"], r["reject_reason"]) for r in rejects] == [("c", "a row carries more than one mission flag")]
+    log = {r["stage"]: r["value"] for r in table.quality_log().collect()}
+    assert log == {"read": 4, "labelled": 1, "without_label": 1, "rejected": 1, "filtered": 1}
+    with pytest.raises(Exception, match="more than one mission flag"):
+        table.append(upload(spark, tmp_path, text), 1, strict=True)
+
+
 def test_anonymous_ids_are_stable(rows):
     a = ingest.normalise_upload(rows("period string", ("1",), ("2",))).orderBy("period").collect()
     b = ingest.normalise_upload(rows("period string", ("2",), ("1",))).orderBy("period").collect()

@@ -120,8 +120,12 @@ def test_trend_audit(rows):
 
 def test_hold_out_evaluation(training, vectors):
     split = sampling.hold_out(vectors)
-    row = learn.evaluate(training.bundle, split.where("split = 'test'")).first()
+    held = learn.hold_out_scores(training.bundle, split.where("split = 'test'"))
+    row = held.scores().first()
     assert 0 < row["pr_auc_macro"] <= 1 and 0 <= row["roc_auc_ovo"] <= 1
+    rows = held.scored.count()
+    assert 0 < rows < vectors.count() and held.confusion().agg(F.sum(sum(F.col(f"pred_{c}") for c in S.CLASS_IDS))).first()[0] == rows
+    assert held.by_mission().select("mission").distinct().count() == 2
 
 
 def test_other_learners(vectors):

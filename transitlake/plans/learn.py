@@ -263,12 +263,37 @@ def cross_calibrate(mixed: DataFrame, parts: int = 2) -> DataFrame:
     return out
 
 
+@dataclass
+class HoldOut:
+    """Scored test rows, kept, and the tables made of them."""
+
+    scored: DataFrame
+
+    def scores(self) -> DataFrame:
+        """One row: macro average precision and one-against-one AUC."""
+        curve = metrics.score_table(self.scored)
+        return metrics.macro_average_precision(curve).select(
+            "pr_auc_macro", metrics.ovo_auc(curve).scalar().alias("roc_auc_ovo")
+        )
+
+    def confusion(self) -> DataFrame:
+        """True class by likeliest class."""
+        return metrics.confusion(self.scored, likeliest_class())
+
+    def by_mission(self) -> DataFrame:
+        """Average precision per mission and class."""
+        return metrics.mission_class_metrics(self.scored)
+
+
+def hold_out_scores(bundle: Bundle, test: DataFrame) -> HoldOut:
+    """Score the test set once, with the stored medians."""
+    kept = [c for c in ("row_id", "y", "mission") if c in test.columns]
+    return HoldOut(cut_lineage(bundle.score(test).select(*kept, *P)))
+
+
 def evaluate(bundle: Bundle, test: DataFrame) -> DataFrame:
     """Hold-out scores with the stored medians: one row."""
-    curve = metrics.score_table(bundle.score(test))
-    return metrics.macro_average_precision(curve).select(
-        "pr_auc_macro", metrics.ovo_auc(curve).scalar().alias("roc_auc_ovo")
-    )
+    return hold_out_scores(bundle, test).scores()
 
 
 def explained(bundle: Bundle, df: DataFrame, index: str = "row_id") -> DataFrame:

@@ -25,7 +25,9 @@ from transitlake.operators.quality import winsorize
 from transitlake.sources.readers import PLACE, read_by_header
 from transitlake.sources.writers import latest_version, version_tag, write_medians, write_version
 
-SEQUENCE = "ingest_seq"
+SEQUENCE, REASON = "ingest_seq", "reject_reason"
+#: parts of the table and the stage under which their rows are counted
+PARTS = {"log": "labelled", "pool": "without_label", "rejects": "rejected"}
 
 
 def _guessed_flags(columns: list[str]) -> dict[str, int]:
@@ -40,8 +42,9 @@ def _guessed_flags(columns: list[str]) -> dict[str, int]:
     return {f: int(f == chosen) for f in hints}
 
 
-def normalise_upload(raw: DataFrame) -> DataFrame:
-    """Upload columns to unified ones: renames, flags, star id, label, no leaks."""
+def normalise_upload(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """Upload columns to unified ones: renames, flags, star id, label, no leaks. A row with
+    two mission flags fails the job, or else gets a ``reject_reason``."""
     by_lower = {c.lower(): c for c in raw.columns}
     found = {by_lower[k]: v for k, v in S.UPLOAD_RENAMES.items() if k in by_lower and v not in raw.columns}
     targets: dict[str, str] = {}
@@ -65,15 +68,16 @@ def normalise_upload(raw: DataFrame) -> DataFrame:
         new |= {flag: F.lit(value) for flag, value in guessed.items()}
     label = F.col("label_int") if "label_int" in df.columns else F.lit(None).cast("string")
     new["label_int"] = class_of_upload(label)
-    return at_most_one_mission(df.withColumns(new).drop(*S.LEAKING_COLUMNS))
+    return at_most_one_mission(df.withColumns(new).drop(*S.LEAKING_COLUMNS), strict)
 
 
-def at_most_one_mission(df: DataFrame) -> DataFrame:
-    """The same rows; a row with two mission flags fails the job that reads it."""
-    total = sum((F.col(f) for f in S.MISSION_FLAGS.values()), F.lit(0))
+def at_most_one_mission(df: DataFrame, strict: bool = True) -> DataFrame:
+    """The same rows; one with two mission flags fails the job that reads it, or is marked."""
+    total, fault = sum((F.col(f) for f in S.MISSION_FLAGS.values()), F.lit(0)), F.lit("a row carries more than one mission flag")
+    if not strict:
+        return df.withColumn(REASON, F.when(total > 1, fault))
     first = next(iter(S.MISSION_FLAGS.values()))
-    fault = F.raise_error(F.lit("a row carries more than one mission flag")).cast("int")
-    return df.withColumn(first, F.when(total <= 1, F.col(first)).otherwise(fault))
+    return df.withColumn(first, F.when(total <= 1, F.col(first)).otherwise(F.raise_error(fault).cast("int")))
 
 
 def engineer(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -101,6 +105,11 @@ def merge_batch(current: DataFrame | None, batch: DataFrame) -> DataFrame:
     return keep_one(both, keys, [F.col(SEQUENCE).desc(), *placed, content.asc()])
 
 
+def sum_of(tables: list[DataFrame]) -> DataFrame:
+    """Their rows together, as one row ``value``."""
+    return reduce(DataFrame.unionByName, tables).agg(F.count("*").alias("value"))
+
+
 class IngestTable:
     """Labelled rows (latest per key) and the pool of unlabelled rows."""
 
@@ -116,11 +125,18 @@ class IngestTable:
                 return None
             raise
 
-    def append(self, raw: DataFrame | list[DataFrame], batch_id: int) -> None:
-        """One batch: uploads of one or several headers, normalised each by its own."""
-        uploads = [prepare(r) for r in (raw if isinstance(raw, list) else [raw])]
+    def append(self, raw: DataFrame | list[DataFrame], batch_id: int, strict: bool = False) -> None:
+        """One batch: uploads of one or several headers, normalised each by its own. A row that
+        contradicts itself goes to the rejects with its reason, or in ``strict`` mode fails the
+        batch. The batch's counts are appended to the quality log."""
+        given = [normalise_upload(r, strict) for r in (raw if isinstance(raw, list) else [raw])]
+        good = given if strict else [g.where(F.col(REASON).isNull()).drop(REASON) for g in given]
+        uploads = [split_labelled(engineer(g)) for g in good]
         self._write("log", stack_feeds([labelled for labelled, _ in uploads]), batch_id)
         self._write("pool", stack_feeds([rest for _, rest in uploads]), batch_id)
+        if not strict:
+            self._write("rejects", stack_feeds([g.where(F.col(REASON).isNotNull()) for g in given]), batch_id)
+        self._log(batch_id, sum_of([g.select(F.lit(1)) for g in given]))
 
     def append_catalog(self, raw: DataFrame, catalog: S.Catalog, batch_id: int) -> None:
         """One source catalog file as a batch of the table."""
@@ -131,18 +147,35 @@ class IngestTable:
         stamped = rows.withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
         stamped.write.mode("overwrite").parquet(f"{self.folder}/{part}/batch_id={batch_id}")
 
-    def counts(self) -> DataFrame:
-        """Rows of each batch by part, as quality log rows: ``stage, metric, value``."""
-        found = [(part, self._read(part)) for part in ("log", "pool")]
+    def counts(self, batch_id: int | None = None) -> DataFrame:
+        """Rows of each batch (or of one) by part, as quality log rows: ``stage, metric, value``."""
+        found = [(part, self._read(part)) for part in PARTS]
         rows = [
-            r.groupBy(F.concat(F.lit("batch "), F.col("batch_id").cast("string")).alias("metric"))
+            (r if batch_id is None else r.where(F.col("batch_id") == batch_id))
+            .groupBy(F.concat(F.lit("batch "), F.col("batch_id").cast("string")).alias("metric"))
             .agg(F.count("*").alias("value"))
-            .select(F.lit({"log": "labelled", "pool": "without_label"}[part]).alias("stage"), "metric", "value")
+            .select(F.lit(PARTS[part]).alias("stage"), "metric", "value")
             for part, r in found
             if r is not None
         ]
         return reduce(DataFrame.unionByName, rows)
 
+    def _log(self, batch_id: int, read: DataFrame) -> None:
+        """The batch's rows as read, by part, and those that the filters dropped. A replayed
+        batch replaces its own entries."""
+        name = f"batch {batch_id}"
+        arrived = read.select(F.lit("read").alias("stage"), F.lit(name).alias("metric"), "value")
+        told = self.counts(batch_id)
+        kept = told.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("kept"))
+        left = arrived.select(F.lit("filtered").alias("stage"), "metric", (F.col("value") - kept.scalar()).alias("value"))
+        entries = arrived.unionByName(told).unionByName(left)
+        entries.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/quality_log/batch_id={batch_id}")
+
+    def quality_log(self) -> DataFrame | None:
+        """``stage, metric, value`` of all batches that were appended."""
+        log = self._read("quality_log")
+        return None if log is None else log.select("stage", "metric", "value")
+
     def refresh_medians(self, columns: list[str] = S.NUMERIC_INPUTS) -> str:
         """Medians of the table as it is now, in a folder of their own."""
         path = f"{self.folder}/medians/{version_tag()}-{uuid.uuid4().hex[:8]}"
