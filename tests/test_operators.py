@@ -356,3 +356,29 @@ def test_hold_out_without_stars_is_stratified(spark):
 def test_histogram_of_a_constant(spark):
     got = {r["bin"]: r for r in quality.histogram(spark.range(7).selectExpr("3.0D AS v"), ["v"], 4).collect()}
     assert got[2]["n"] == 7 and (got[0]["bin_from"], got[3]["bin_to"]) == (2.5, 3.5)
+
+
+def test_catalogs_are_not_copied(spark):
+    """The catalog's branch of the plan has neither a generator nor an aggregation."""
+    df = spark.range(50).selectExpr("id AS n", "CAST(id AS DOUBLE) AS ra_deg", "CAST(id AS DOUBLE) AS dec_deg")
+    cat = spark.range(5000).selectExpr("id AS source_id", "id * 0.01D AS ra", "id * 0.01D AS dec", "1.0D AS parallax", "1.0D AS phot_g_mean_mag")
+    plan = skymatch.nearest_on_sky(df, cat, skymatch.GAIA_PAYLOAD, "source_id")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    ours = next(i for i, line in enumerate(lines) if "Range (0, 5000" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, at = [], depth(lines[ours])
+    for line in reversed(lines[:ours]):
+        if depth(line) < at:
+            above.append(line)
+            at = depth(line)
+            if "Join" in line:
+                break
+    assert "Join" in above[-1] and not any("Generate" in x or "Aggregate" in x for x in above)
+
+
+def test_missing_keys_are_spread(spark):
+    df = spark.range(4000).selectExpr("id", "CAST(NULL AS STRING) AS k", "id % 3 AS v").unionByName(spark.sql("SELECT 9999L AS id, 'a' AS k, 1L AS v"))
+    side = spark.sql("SELECT 'a' AS k, 5 AS w UNION ALL SELECT NULL, 6")
+    got = skymatch.left_on(df, side, ["k"])
+    assert got.columns == ["k", "id", "v", "w"] or set(got.columns) == {"k", "id", "v", "w"}
+    assert [(r.id, r.w) for r in got.where("w IS NOT NULL").collect()] == [(9999, 5)] and got.count() == 4001

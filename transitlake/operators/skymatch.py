@@ -1,15 +1,17 @@
 """Position joins.
 
 A distance condition alone plans as a nested-loop join over every pair. Both
-joins here become equi-joins on a grid cell: one side is copied to the cells
-around it, and the exact condition is checked on the few pairs that share one.
-Rows at one and the same position are merged first on both sides, so a star
-observed a billion times is matched once.
+joins here become equi-joins on a grid cell, and the exact condition is checked
+on the pairs that share one. A cell is ``CELL`` times as wide as the reach, so a
+position lies in one cell and only near an edge in another one; the catalog,
+which is the large side, has one cell per row, is never copied and is shuffled
+once. Rows at one and the same position are looked up once.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,21 +20,30 @@ from transitlake.functions.geometry import cartesian
 
 ARCSEC = math.pi / 180 / 3600
 AXES = ["x", "y", "z"]
+#: width of a cell in reaches, and shares into which rows without a key are spread
+CELL, SPREAD = 32, 1024
 
 
-def _cells(width: float, around: bool) -> Column:
-    """Cell of a unit vector, or the 27 cells around and including it."""
-    base = [F.floor(F.col(a) / width) for a in AXES]
-    if not around:
-        return F.struct(*[b.alias(a) for a, b in zip(AXES, base)])
-    steps = (-1, 0, 1)
-    near = [
-        F.struct((base[0] + i).alias("x"), (base[1] + j).alias("y"), (base[2] + k).alias("z"))
-        for i in steps
-        for j in steps
-        for k in steps
-    ]
-    return F.explode(F.array(*near))
+def cell(axes: dict[str, Column], width: float) -> Column:
+    """The cell that a point lies in."""
+    return F.struct(*[F.floor(c / width).alias(a) for a, c in axes.items()])
+
+
+def cells_within(axes: dict[str, Column], width: float, reach: float) -> Column:
+    """All cells that a point's surroundings touch: one, but near an edge."""
+    sides = product(*[[F.floor((c + s) / width).alias(a) for s in (-reach, reach)] for a, c in axes.items()])
+    return F.array_distinct(F.array(*[F.struct(*corner) for corner in sides]))
+
+
+def left_on(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys``; rows with a missing key match nothing and are spread over the
+    tasks instead of meeting in one."""
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    spread = F.when(missing, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
+    joined = df.withColumn("_spread", spread).join(side.withColumn("_spread", F.lit(0).cast("long")), [*keys, "_spread"], "left")
+    return joined.drop("_spread")
 
 
 def nearest_on_sky(
@@ -49,23 +60,22 @@ def nearest_on_sky(
     """Left join of the nearest catalog source closer than the radius.
 
     ``payload`` maps catalog columns to output columns; ``sep_arcsec`` is added.
-    Ties go to the smallest ``source_id``. The cell is just wider than the radius,
-    so a position meets only sources a few radii away.
+    Ties go to the smallest ``source_id``. Sources at one position are told apart only
+    among the pairs, whose minimum is partly taken map-side.
     """
     reach = 2 * math.sin(radius_arcsec * ARCSEC / 2)
-    width = reach * 1.0001
+    width = reach * CELL
+    axes = {a: F.col(a) for a in AXES}
     unit = cartesian(F.col(ra), F.col(dec))
     spots = df.select(ra, dec).dropna().distinct().withColumns(unit)
-    spots = spots.withColumn("cell", _cells(width, around=False))
+    spots = spots.withColumn("cell", F.explode(cells_within(axes, width, reach * 1.0001)))
 
     columns = F.struct(F.col(source_id).alias("_id"), *[F.col(c).alias(f"_p_{c}") for c in payload])
     sources = (
         catalog.where(F.col(catalog_ra).isNotNull() & F.col(catalog_dec).isNotNull())
-        .groupBy(F.col(catalog_ra).alias("_ra"), F.col(catalog_dec).alias("_dec"))
-        .agg(F.min(columns).alias("source"))
+        .select(columns.alias("source"), F.col(catalog_ra).alias("_ra"), F.col(catalog_dec).alias("_dec"))
         .withColumns(cartesian(F.col("_ra"), F.col("_dec")))
-        .withColumn("cell", _cells(width, around=True))
-        .select("cell", "source", *[F.col(a).alias(f"_{a}") for a in AXES])
+        .select(cell(axes, width).alias("cell"), "source", *[F.col(a).alias(f"_{a}") for a in AXES])
     )
     squares = [F.pow(F.col(a) - F.col(f"_{a}"), F.lit(2)) for a in AXES]
     chord = F.sqrt(squares[0] + squares[1] + squares[2])
@@ -77,7 +87,7 @@ def nearest_on_sky(
         .groupBy(ra, dec)
         .agg(F.min(F.struct("sep", "source")).alias("_best"))
     )
-    return df.join(matched, [ra, dec], "left").select(
+    return left_on(df, matched, [ra, dec]).select(
         *[F.col(c) for c in df.columns],
         *[F.col(f"_best.source._p_{c}").alias(out) for c, out in payload.items()],
         F.col("_best.sep").alias("sep_arcsec"),
@@ -121,29 +131,17 @@ def name_by_box(
 
     ``names`` are columns or expressions over the reference, best first.
     """
-    def bucket(c: Column) -> Column:
-        return F.floor(c / box)
-
+    width, reach = CELL * box, box * 1.0001
     spots = df.select("mission", "ra_deg", "dec_deg").dropna().distinct()
-    spots = spots.withColumns({"_i": bucket(F.col("ra_deg")), "_j": bucket(F.col("dec_deg"))})
+    touched = cells_within({"i": F.col("ra_deg"), "j": F.col("dec_deg")}, width, reach)
+    spots = spots.withColumn("_cell", F.explode(touched))
     picked = F.coalesce(*[F.col(n) if isinstance(n, str) else n for n in names])
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    boxes = (
-        reference.select(
-            F.col("mission").alias("_mission"), F.col("ra").alias("_ra"), F.col("dec").alias("_dec"),
-            F.col(order).alias("_order"), picked.alias("_name"),
-        )
-        .groupBy("_mission", "_ra", "_dec")
-        .agg(F.min(F.struct("_order", "_name")).alias("_ref"))
-        .withColumn("_di", F.explode(around))
-        .withColumn("_dj", F.explode(around))
-        .withColumns({"_bi": bucket(F.col("_ra")) + F.col("_di"), "_bj": bucket(F.col("_dec")) + F.col("_dj")})
-    )
-    same_box = (
-        (F.col("mission") == F.col("_mission"))
-        & (F.col("_i") == F.col("_bi"))
-        & (F.col("_j") == F.col("_bj"))
-    )
+    boxes = reference.select(
+        F.col("mission").alias("_mission"), F.col("ra").alias("_ra"), F.col("dec").alias("_dec"),
+        F.struct(F.col(order).alias("_order"), picked.alias("_name")).alias("_ref"),
+        cell({"i": F.col("ra"), "j": F.col("dec")}, width).alias("_box"),
+    )
+    same_box = (F.col("mission") == F.col("_mission")) & (F.col("_cell") == F.col("_box"))
     near = (F.abs(F.col("_ra") - F.col("ra_deg")) < box) & (F.abs(F.col("_dec") - F.col("dec_deg")) < box)
     named = (
         spots.join(boxes, same_box)
@@ -153,7 +151,7 @@ def name_by_box(
         .withColumn("object_name", F.col("_ref._name"))
         .drop("_ref")
     )
-    return df.join(named, ["mission", "ra_deg", "dec_deg"], "left").select(
+    return left_on(df, named, ["mission", "ra_deg", "dec_deg"]).select(
         *df.columns, F.coalesce("object_name", F.lit(default)).alias("object_name")
     )
 
@@ -164,4 +162,4 @@ def attach_positions(scored: DataFrame, positions: DataFrame, order: list[str])
 
     extra = [c for c in positions.columns if c not in scored.columns and c not in order]
     one = keep_first(positions, ["star_id"], order).select("star_id", *extra)
-    return scored.join(one, "star_id", "left")
+    return left_on(scored, one, ["star_id"]).select(*scored.columns, *extra)

@@ -375,6 +375,23 @@ def sky_match(spark, folder):
     return matched.select("c_custkey", *skymatch.GAIA_PAYLOAD.values(), r("sep_arcsec", 5).alias("sep_arcsec"))
 
 
+@query(
+    f"""WITH {Q.SKY}, {Q.PAIRS.format(radius=2)}
+SELECT s.c_custkey, n.source_id AS gaia_source_id, n.parallax AS gaia_parallax, n.gmag AS gaia_gmag,
+       n.source_id AS tic_id, n.gmag AS "tic_Tmag", n.parallax / 10 AS tic_st_rad, n.parallax / 20 AS tic_st_mass
+FROM sky s LEFT JOIN nearest n USING (c_custkey)"""
+)
+def sky_match_tic(spark, folder):
+    """Both catalogs at once."""
+    gaia = A.sky_catalog(spark, folder)
+    tic = gaia.select(
+        F.col("source_id").alias("ID"), F.col("phot_g_mean_mag").alias("Tmag"), (F.col("parallax") / 10).alias("rad"),
+        (F.col("parallax") / 20).alias("mass"), "ra", "dec",
+    )
+    matched = skymatch.match_catalogs(A.sky_rows(spark, folder), gaia, tic)
+    return matched.select("c_custkey", *skymatch.GAIA_PAYLOAD.values(), *skymatch.TIC_PAYLOAD.values())
+
+
 @query(
     f"""WITH {Q.SKY}, {Q.PAIRS.format(radius=40)}
 SELECT 'unmatched' AS stage, 'gaia' AS metric, count(*) FILTER (n.source_id IS NULL) AS value
