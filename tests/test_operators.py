@@ -227,7 +227,7 @@ def test_ranking_pages_and_views(rows):
     assert [r["star_id"] for r in discover.ranked(full, ["star_id"]).collect()] == ["a", "b", "c"]
     assert [r["star_id"] for r in discover.page(full, discover.ranking(["star_id"]), 2, 1).collect()] == ["b"]
     assert [r["star_id"] for r in discover.universe_table(full).collect()] == ["a"]
-    assert discover.candidate_table(full).columns == discover.CANDIDATE_COLUMNS
+    assert discover.candidate_table(full).columns == S.CANDIDATE_COLUMNS
     seen = discover.universe_view(rows("RA double, DEC double, koi_period string, source string, p_conf double", (1.0, 2.0, "x", "tess", 0.7)), {2: 0.6, 1: 0.3}).first()
     assert seen["mission"] == "TESS" and seen["label"] == "Confirmed" and seen["period"] is None and seen["ra_deg"] == 1.0
 
@@ -382,3 +382,28 @@ def test_missing_keys_are_spread(spark):
     got = skymatch.left_on(df, side, ["k"])
     assert got.columns == ["k", "id", "v", "w"] or set(got.columns) == {"k", "id", "v", "w"}
     assert [(r.id, r.w) for r in got.where("w IS NOT NULL").collect()] == [(9999, 5)] and got.count() == 4001
+
+
+def test_radix_selection_is_exact(spark):
+    from transitlake.operators import radix
+
+    rng = np.random.default_rng(8)
+    odd = [0.0, -0.0, 1.0, 5e-324, -5e-324, 1e300, -1e300, 1e-300, 7.25, None, float("nan")]
+    values = [*odd, *rng.normal(size=700).tolist(), *np.round(rng.normal(size=700), 1).tolist(), *[3.0] * 500]
+    groups = [rng.choice(["a", "b", None]) for _ in values]
+    rows = [(g, i % 2, v, float(i)) for i, (g, v) in enumerate(zip(groups, values))]
+    df = spark.createDataFrame(rows, "g string, h int, v double, w double").repartition(5)
+    ranks_of = lambda n, k: F.array(F.floor((n - 1) * F.lit([0.0, 0.37, 1.0][k])) + 1)
+    got = {(r["g"], r["h"], r["column"], r["which"]): (r["n"], r["position"], r["value"]) for r in radix.order_statistics(df, ["v", "w"], [0.0, 0.37, 1.0], ranks_of, ["g", "h"]).collect()}
+    for g in ("a", "b", None):
+        for h in (0, 1):
+            for at, column in ((2, "v"), (3, "w")):
+                mine = sorted(r[at] for r in rows if r[0] == g and r[1] == h and r[at] is not None and not math.isnan(r[at]))
+                for k, share in enumerate((0.0, 0.37, 1.0)):
+                    place = math.floor((len(mine) - 1) * share) + 1
+                    assert got[g, h, column, k] == (len(mine), place, mine[place - 1])
+    assert radix.order_statistics(df.limit(0), ["v"], [0.5], ranks_of).collect() == []
+    nothing = df.withColumn("v", F.lit(None).cast("double"))
+    assert radix.order_statistics(nothing, ["v"], [0.5], ranks_of, ["h"]).collect() == []
+    several = radix.order_statistics(df, ["w"], [0.5], lambda n, k: F.array(F.lit(2), F.lit(3), F.lit(2)).cast("array<bigint>"), [])
+    assert sorted(r["value"] for r in several.collect()) == [1.0, 1.0, 2.0]

@@ -120,6 +120,7 @@ def discovery_score(df: DataFrame) -> Column:
 def rationale(thresholds: dict[int, float]) -> Column:
     """One sentence per finding; reads ``veto_hit, p_conf_before_veto,
     p_conf_after_veto, prediction_set, top_features`` and the probabilities."""
+    # fixed values: the sentences are output text
     above = margins(thresholds)
     names = F.transform(F.col("prediction_set"), class_name)
     drivers = F.transform(

@@ -80,21 +80,9 @@ def explanations_for(records: DataFrame, star_id: str | None = None, row_index:
     return records.orderBy("row_index").limit(k)
 
 
-CANDIDATE_COLUMNS = [
-    "star_id", "pred_text", "p_conf", "p_cand", "p_fp", "discovery_score", "passes_gate",
-    "threshold_margins", "prediction_set", "depth_snr", "geom_transit_prob", "dur_consistency", "ror",
-    "impact", "incl_deg", "period", "dur_h", "depth_ppm", "is_kepler", "is_k2", "is_tess", "ra_deg",
-    "dec_deg", "rationale",
-]
-UNIVERSE_COLUMNS = [
-    "star_id", "mission", "pred_text", "p_exoplanet", "p_conf", "p_cand", "p_fp", "ra_deg", "dec_deg",
-    "dist_pc", "rade_Re", "period", "x", "y", "z",
-]
-
-
 def candidate_table(df: DataFrame) -> DataFrame:
     """The exported columns; an absent one is missing."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in CANDIDATE_COLUMNS])
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in S.CANDIDATE_COLUMNS])
 
 
 def universe_table(df: DataFrame) -> DataFrame:
@@ -103,7 +91,7 @@ def universe_table(df: DataFrame) -> DataFrame:
         flags = set(S.MISSION_FLAGS.values()) <= set(df.columns)
         df = df.withColumn("mission", mission_from_flags() if flags else F.lit("Unknown"))
     placed = placeable(df).withColumns(cartesian(F.col("ra_deg"), F.col("dec_deg"), F.col("dist_pc")))
-    return placed.select(*[F.col(c) if c in placed.columns else F.lit(None).cast("double").alias(c) for c in UNIVERSE_COLUMNS])
+    return placed.select(*[F.col(c) if c in placed.columns else F.lit(None).cast("double").alias(c) for c in S.UNIVERSE_COLUMNS])
 
 
 def universe_view(df: DataFrame, thresholds: dict[int, float] | None = None) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake import schema as S
-from transitlake.operators.ranks import order_statistics, running_totals
+from transitlake.operators.radix import order_statistics
+from transitlake.operators.ranks import running_totals
 
 COUNTS = [f"n{c}" for c in S.CLASS_IDS]
 

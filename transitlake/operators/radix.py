@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake.functions.numbers import finite
-from transitlake.session import cut_lineage
+from transitlake.session import cut_lineage, written
 
 #: bits of a value that are known after each pass
 KNOWN = (16, 40, 64)
@@ -102,18 +102,20 @@ def digit_counts(values: DataFrame, by: list[str], columns: int, numbers: dict,
 
 
 def order_statistics(
-    df: DataFrame, columns: list[str], shares: list[float], positions: Callable[[Column, int], Column], by: list[str] | None = None
-) -> DataFrame:
+    df: DataFrame, columns: list[str], shares: list[float], positions: Callable[[Column, int], Column], by: list[str] | None = None,
+    kept: bool = False,
+) -> DataFrame:
     """Exact values at chosen ranks: ``by..., column, which, n, position, value``.
 
     ``positions(n, k)`` gives, for share number ``k``, an array column of 1-based ranks among
-    the ``n`` present values of a column. The narrow input is written once and read three
-    times; nothing is sorted. Groups come from fixed lists (``MOST_GROUPS`` at most).
+    the ``n`` present values of a column. The narrow input is written once, unless the caller
+    has ``kept`` it already, and read three times; nothing is sorted. Groups come from fixed lists (``MOST_GROUPS`` at most).
     """
     by = by or []
     spark = df.sparkSession
     cells = [finite(F.col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)]
-    values = cut_lineage(df.select(*by, *cells))
+    values = df.select(*by, *cells)
+    values = values if kept else written(values)
     kinds = values.select(*by).schema if by else None
     groups = [tuple(r) for r in values.select(*by).distinct().limit(MOST_GROUPS + 1).collect()] if by else [()]
     if len(groups) > MOST_GROUPS:

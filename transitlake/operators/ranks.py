@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake.functions.numbers import finite
+from transitlake.operators import radix
 from transitlake.session import cut_lineage
 
 SKETCH_ACCURACY = 10_000
@@ -251,10 +252,12 @@ def percentiles(
     by: list[str] | None = None,
     accuracy: int = SKETCH_ACCURACY,
     few_groups: bool = True,
+    kept: bool = False,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, missing values ignored.
 
-    Result: ``by..., column, share, value``; a column without values has no row.
+    Result: ``by..., column, share, value``; a column without values has no row. Groups from
+    fixed lists are answered by radix selection, others by sketches and brackets.
     """
     by = by or []
     listed = F.array(*[F.lit(float(s)) for s in shares])
@@ -265,7 +268,10 @@ def percentiles(
             F.array().cast("array<bigint>")
         )
 
-    found = order_statistics(df, columns, shares, around, by, accuracy, few_groups)
+    if few_groups:
+        found = radix.order_statistics(df, columns, shares, around, by, kept)
+    else:
+        found = order_statistics(df, columns, shares, around, by, accuracy, few_groups)
     at = (F.col("n") - 1) * F.get(listed, F.col("which"))
     return (
         found.groupBy(*by, "column", "which")
@@ -287,6 +293,7 @@ def percentiles_wide(
     approximate: bool = False,
     accuracy: int = SKETCH_ACCURACY,
     few_groups: bool = True,
+    kept: bool = False,
 ) -> DataFrame:
     """One row per group, one array column (one entry per share) per input column.
 
@@ -301,7 +308,7 @@ def percentiles_wide(
                 for c in columns
             ]
         )
-    long = percentiles(df, columns, shares, by, accuracy, few_groups)
+    long = percentiles(df, columns, shares, by, accuracy, few_groups, kept)
     cell = lambda c, s: F.max(F.when((F.col("column") == c) & (F.col("share") == s), F.col("value")))
     return long.groupBy(*by).agg(
         *[F.array(*[cell(c, float(s)) for s in shares]).alias(c) for c in columns]

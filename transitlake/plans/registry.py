@@ -840,6 +840,22 @@ def deep_candidate_page(spark, folder):
     return build_index(rows, discover.ranking(["star_id", *A.LINE_KEY]), path, 10_000).page(301, 100)
 
 
+@query(
+    f"""WITH {RATED_SQL} SELECT l_orderkey * 10 + l_linenumber AS row_index, star_id, discovery_score FROM rounded
+WHERE star_id = '77' ORDER BY row_index LIMIT 50"""
+)
+def star_explanations(spark, folder):
+    """The first explanation records of one star."""
+    records = _rated(spark, folder).withColumn("row_index", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return discover.explanations_for(records, star_id="77").select("row_index", "star_id", "discovery_score")
+
+
+@query(f"WITH {RATED_SQL} SELECT {Q.ALLKEYS}, star_id FROM rounded ORDER BY {Q.ALLKEYS} LIMIT 20")
+def first_rows(spark, folder):
+    """The head of a table in its own order."""
+    return discover.first_rows(_rated(spark, folder), 20, A.LINE_KEY).select(*A.LINE_KEY, "star_id")
+
+
 @query(f"WITH {RATED_SQL} SELECT {Q.ALLKEYS}, {', '.join(RATED_OUT)} FROM rounded WHERE passes_gate")
 def gated_candidates(spark, folder):
     return filters.gated(_rated(spark, folder)).select(*A.LINE_KEY, *RATED_OUT)

@@ -44,13 +44,9 @@ MISSION_FLAGS = {"Kepler": "is_kepler", "K2": "is_k2", "TESS": "is_tess"}
 # --------------------------------------------------------------- columns --
 # fixed values
 BUNDLE_BASES = ["period", "t0_bjd", "dur_h", "depth_ppm", "ror", "a_over_rs"]
-TRANSIT_COLUMNS = [
+NUMERIC_INPUTS = [
     "period", "dur_h", "depth_ppm", "ror", "rade_Re", "a_over_rs", "impact", "ecc", "incl_deg",
-]
-STAR_COLUMNS = [
     "insol_S", "eqt_K", "teff_K", "logg_cgs", "feh_dex", "rad_Rs", "mass_Ms", "age_Gyr",
-]
-SKY_COLUMNS = [
     "ra_deg", "dec_deg", "pm_ra_masyr", "pm_dec_masyr", "dist_pc", "mag_T", "mag_Kepler",
 ]
 ENGINEERED_DOUBLES = [
@@ -66,7 +62,6 @@ PHYSICS_FLAGS = ["giant_flag", "valley_flag", "low_prob_flag", "dur_outlier_flag
 BUNDLE_SUFFIXES = ["_err_mean", "_rel_err", "_missing"]
 BUNDLE_COLUMNS = [base + suffix for base in BUNDLE_BASES for suffix in BUNDLE_SUFFIXES]
 
-NUMERIC_INPUTS = TRANSIT_COLUMNS + STAR_COLUMNS + SKY_COLUMNS
 CLIPPED_COLUMNS = NUMERIC_INPUTS + ENGINEERED_DOUBLES
 FEATURE_COLUMNS = (
     CLIPPED_COLUMNS + ENGINEERED_FLAGS + BUNDLE_COLUMNS + PHYSICS_DOUBLES + PHYSICS_FLAGS
@@ -75,8 +70,17 @@ CATALOG_MATCH_COLUMNS = [
     "gaia_parallax", "gaia_gmag", "tic_Tmag", "tic_st_rad", "tic_st_mass",
 ]
 LABEL_COLUMNS = ["label", "label_int"]
-HISTOGRAM_COLUMNS = ["period", "ror", "dur_frac", "depth_consistency"]
-COUNTED_COLUMNS = ["depth_consistency", "dur_frac", "depth_snr", "dur_snr", "pm_tot"]
+# fixed values: columns of the exported candidates and of the map
+CANDIDATE_COLUMNS = [
+    "star_id", "pred_text", "p_conf", "p_cand", "p_fp", "discovery_score", "passes_gate",
+    "threshold_margins", "prediction_set", "depth_snr", "geom_transit_prob", "dur_consistency", "ror",
+    "impact", "incl_deg", "period", "dur_h", "depth_ppm", "is_kepler", "is_k2", "is_tess", "ra_deg",
+    "dec_deg", "rationale",
+]
+UNIVERSE_COLUMNS = [
+    "star_id", "mission", "pred_text", "p_exoplanet", "p_conf", "p_cand", "p_fp", "ra_deg", "dec_deg",
+    "dist_pc", "rade_Re", "period", "x", "y", "z",
+]
 # fixed values: answers that must never reach training
 LEAKING_COLUMNS = [
     "label_text", "human_vetting_notes", "is_confirmed_truth", "disposition", "koi_score",

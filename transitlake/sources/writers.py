@@ -40,10 +40,6 @@ def write_preview(df: DataFrame, path: str, order: list[str], columns: list[str]
     write_csv(head.select(*(columns or df.columns)), path)
 
 
-def catalog_preview_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith(("gaia_", "tic_"))] + ["star_id", "period", "ror"]
-
-
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
