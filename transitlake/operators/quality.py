@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from transitlake import schema as S
 from transitlake.functions.numbers import clip
 from transitlake.operators.ranks import attach, percentiles, percentiles_wide
-from transitlake.session import written
 
 
 def class_counts(df: DataFrame, by=("mission",), label: str = "label") -> DataFrame:
@@ -58,13 +57,12 @@ def winsorize(
     """Clip each column to its percentiles, per group. Missing stays missing.
 
     The bounds are one small row per group (groups are missions), so the clip itself is
-    map-only. The rows are written once, so that what made them is not repeated.
+    map-only.
     """
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    df = df if approximate else written(df)
-    bounds = percentiles_wide(df, columns, [low, high], by, approximate, kept=not approximate)
+    bounds = percentiles_wide(df, columns, [low, high], by, approximate)
     bounds = bounds.select(*(by or []), F.struct(*columns).alias("_bounds"))
     clipped = {
         c: clip(F.col(c).cast("double"), F.col("_bounds")[c][0], F.col("_bounds")[c][1])
