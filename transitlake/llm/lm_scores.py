@@ -106,7 +106,7 @@ def part_bounds(parts: int) -> np.ndarray:
 
 
 def score(
-    df: DataFrame, id: str = "doc_id", text: str = "text", order: int = 2,
+    df: DataFrame, id: str = "doc_id", text: str = "text", order: int = 3,
     block_words: int = BLOCK_WORDS, part_words: int = PART_WORDS,
 ) -> DataFrame:
     """``id, n_words, log_score, mean_log_score`` for every row.

@@ -155,16 +155,22 @@ def op1_ngram_join(spark, folder):
     """WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\t-\r ]+') AS ws FROM documents)),
 n AS (SELECT count(*) AS total FROM w), size AS (SELECT doc_id, count(*) AS k FROM w GROUP BY 1),
-p AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w),
+p AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS b, lag(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM w),
 one AS (SELECT w, count(*) AS c FROM w GROUP BY 1), mine AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY ALL),
 two AS (SELECT b, w, count(*) AS c FROM p WHERE b IS NOT NULL GROUP BY ALL),
 mine2 AS (SELECT doc_id, b, w, count(*) AS c FROM p WHERE b IS NOT NULL GROUP BY ALL),
+three AS (SELECT a, b, w, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY ALL),
+mine3 AS (SELECT doc_id, a, b, w, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY ALL),
 scored AS (SELECT p.doc_id, CASE
-  WHEN p.b IS NOT NULL AND two.c - mine2.c > 0 THEN ln(two.c - mine2.c) - ln(before.c - own.c)
-  ELSE ln(greatest(one.c - mine.c, 1)) - ln(greatest(total - k, 1)) + CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  WHEN p.a IS NOT NULL AND three.c - mine3.c > 0 THEN ln(three.c - mine3.c) - ln(pair.c - ownpair.c)
+  WHEN p.b IS NOT NULL AND two.c - mine2.c > 0 THEN ln(two.c - mine2.c) - ln(before.c - own.c) + CASE WHEN p.a IS NULL THEN 0 ELSE ln(0.4) END
+  ELSE ln(greatest(one.c - mine.c, 1)) - ln(greatest(total - k, 1)) + CASE WHEN p.a IS NOT NULL THEN 2 * ln(0.4) WHEN p.b IS NOT NULL THEN ln(0.4) ELSE 0 END END AS s
   FROM p JOIN n ON true JOIN size USING (doc_id) JOIN one ON one.w = p.w JOIN mine ON mine.doc_id = p.doc_id AND mine.w = p.w
   LEFT JOIN two ON two.b = p.b AND two.w = p.w LEFT JOIN mine2 ON mine2.doc_id = p.doc_id AND mine2.b = p.b AND mine2.w = p.w
-  LEFT JOIN one before ON before.w = p.b LEFT JOIN mine own ON own.doc_id = p.doc_id AND own.w = p.b)
+  LEFT JOIN three ON three.a = p.a AND three.b = p.b AND three.w = p.w
+  LEFT JOIN mine3 ON mine3.doc_id = p.doc_id AND mine3.a = p.a AND mine3.b = p.b AND mine3.w = p.w
+  LEFT JOIN one before ON before.w = p.b LEFT JOIN mine own ON own.doc_id = p.doc_id AND own.w = p.b
+  LEFT JOIN two pair ON pair.b = p.a AND pair.w = p.b LEFT JOIN mine2 ownpair ON ownpair.doc_id = p.doc_id AND ownpair.b = p.a AND ownpair.w = p.b)
 SELECT d.doc_id, coalesce(k, 0) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / k, 6) AS mean_log_score
 FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT doc_id, sum(s) AS s FROM scored GROUP BY 1) USING (doc_id)"""
 )
