@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transitlake import schema as S
-from transitlake.operators import dedup
+from transitlake.operators import dedup, running
 from transitlake.sources.readers import read_delimited
 from transitlake.streaming import ingest
 
@@ -177,3 +179,54 @@ def test_catalog_file_enters_the_table(spark, rows, tmp_path):
     table.append_catalog(raw, S.TOI, 1)
     table.append_catalog(raw.withColumn("tfopwg_disp", F.lit("FP")), S.TOI, 2)
     assert sorted((r["star_id"], r["label_int"]) for r in table.current().collect()) == [("5", 0), ("6", 0)]
+
+
+def median(values):
+    held = sorted(values)
+    return (held[(len(held) - 1) // 2] + held[len(held) // 2]) / 2
+
+
+def test_running_medians_are_exact(spark, rows, tmp_path):
+    """Signs, halves, tiny steps, far magnitudes, values that leave again and missing ones."""
+    rng = random.Random(3)
+    near = [1.5 + i * 2.0**-52 for i in range(40)]
+    draw = lambda: (rng.uniform(-5, 5), rng.choice(near), 10 ** rng.uniform(-300, 300), rng.choice([0.0, -0.0, None]), None)
+    frame = lambda held: rows("a double, b double, c double, d double, e double", *held)
+    folder, held = str(tmp_path), []
+    for batch in range(3):
+        gone = [held.pop(rng.randrange(len(held))) for _ in range(len(held) // 2)]
+        new = [draw() for _ in range(rng.randrange(30, 61))]
+        running.write_changes(running.changes(frame(new), frame(gone) if gone else None, list("abcde")), folder, batch)
+        held += new
+    got = running.medians(spark.read.parquet(f"{folder}/bins"), spark.read.parquet(f"{folder}/values"))
+    assert got == {c: median([v[i] for v in held if v[i] is not None]) for i, c in enumerate("abcd")}
+
+
+def test_medians_follow_the_table(spark, rows, tmp_path):
+    """Upserts over several batches, a replay and a compaction: as if read anew."""
+    rng = random.Random(4)
+    table = ingest.IngestTable(spark, str(tmp_path / "t"))
+    schema = "star_id string, period string, depth_ppm string, dur_h string, ror string, label_int string"
+    batches = []
+    for _ in range(3):
+        stars = [(f"s{rng.randrange(30)}", rng.choice(["1.5", "2.5", None]), str(rng.randrange(100, 999)), str(rng.uniform(1, 9)), "0.1", "Candidate") for _ in range(25)]
+        batches.append(rows(schema, *dict((s[:2], s) for s in stars).values()))
+    fresh = lambda: {c: median([r[c] for r in table.current().collect() if r[c] is not None]) for c in ("depth_ppm", "dur_h")}
+    known = lambda: {c: v for c, v in table.medians().items() if c in ("depth_ppm", "dur_h")}
+    assert table.medians() == {}
+    for number, batch in enumerate(batches):
+        table.append(batch, number)
+        assert known() == fresh()
+        if number == 1:
+            table.append(batches[0], 0)
+            table.compact()
+            assert known() == fresh()
+    table.refresh_medians(["dur_h"])
+    assert {r["key"]: r["value"] for r in table.latest_medians().collect()} == {"dur_h": fresh()["dur_h"]}
+
+
+def test_refresh_reads_no_rows_of_the_table(spark, rows, tmp_path):
+    table = ingest.IngestTable(spark, str(tmp_path / "t"))
+    table.append(rows("star_id string, period string, ror string, label_int string", ("a", "1.5", "0.1", "Candidate")), 0)
+    (tmp_path / "t" / "log").rename(tmp_path / "away")
+    assert table.medians()["period"] == 1.5

@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +20,12 @@ from transitlake import schema as S
 from transitlake.functions.features import add_bundles, add_catalog_features
 from transitlake.functions.labels import anonymous_id, class_of_upload, mission_from_flags
 from transitlake.functions.numbers import clean_numbers
+from transitlake.operators import running
 from transitlake.operators.dedup import keep_one, stack_feeds
 from transitlake.operators.filters import plausible, positive, split_labelled
 from transitlake.operators.quality import winsorize
 from transitlake.sources.readers import PLACE, read_by_header
-from transitlake.sources.writers import latest_version, version_tag, write_medians, write_version
+from transitlake.sources.writers import latest_version, version_tag, write_version
 
 SEQUENCE, REASON = "ingest_seq", "reject_reason"
 #: parts of the table and the stage under which their rows are counted
@@ -133,6 +135,7 @@ class IngestTable:
         good = given if strict else [g.where(F.col(REASON).isNull()).drop(REASON) for g in given]
         uploads = [split_labelled(engineer(g)) for g in good]
         self._write("log", stack_feeds([labelled for labelled, _ in uploads]), batch_id)
+        self._remember(batch_id)
         self._write("pool", stack_feeds([rest for _, rest in uploads]), batch_id)
         if not strict:
             self._write("rejects", stack_feeds([g.where(F.col(REASON).isNotNull()) for g in given]), batch_id)
@@ -142,6 +145,7 @@ class IngestTable:
         """One source catalog file as a batch of the table."""
         rows = process_catalog(raw, catalog)
         self._write("log", rows.drop("feed_ord", "rowid", "label_raw"), batch_id)
+        self._remember(batch_id)
 
     def _write(self, part: str, rows: DataFrame, batch_id: int) -> None:
         stamped = rows.withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
@@ -176,13 +180,54 @@ class IngestTable:
         log = self._read("quality_log")
         return None if log is None else log.select("stage", "metric", "value")
 
-    def refresh_medians(self, columns: list[str] = S.NUMERIC_INPUTS) -> str:
+    def _remember(self, batch_id: int) -> None:
+        """What the batch changes in the value counts that the medians are made of.
+
+        Of older batches the keys are read; values only of batches that hold a row which
+        this one replaces, and only in the columns of the medians."""
+        log = self._read("log")
+        keys = [c for c in ("star_id", "period") if c in log.columns]
+        columns = [c for c in S.NUMERIC_INPUTS if c in log.columns]
+        placed = [c for c in ("_changed", "_file", "_block", "_line") if c in log.columns]
+        batch = merge_batch(None, log.where(F.col("batch_id") == batch_id).drop("batch_id"))
+        arrived = batch.select(*{*keys, *columns})
+        older = log.where(F.col("batch_id") < batch_id)
+        touched = batch.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        # one number a batch that the table ever took
+        hit = [r[0] for r in older.select("batch_id", *keys).join(touched, same, "left_semi").select("batch_id").distinct().collect()]
+        replaced = None
+        if hit:
+            rows = older.where(F.col("batch_id").isin(hit)).join(touched, same, "left_semi")
+            # ties inside a file are decided by all columns, as when the table is read
+            replaced = merge_batch(None, rows.drop("batch_id")).select(*{*keys, *columns, *placed})
+        running.write_changes(running.changes(arrived, replaced, columns), f"{self.folder}/counts", batch_id)
+
+    def medians(self) -> dict[str, float]:
+        """Exact medians of the current rows, from the value counts of all batches: no row of
+        an older batch is read, of the counts the bins that hold a median."""
+        bins, values = self._read("counts/bins"), self._read("counts/values")
+        return {} if bins is None else running.medians(bins, values)
+
+    def refresh_medians(self, columns: list[str] | None = None) -> str:
         """Medians of the table as it is now, in a folder of their own."""
         path = f"{self.folder}/medians/{version_tag()}-{uuid.uuid4().hex[:8]}"
-        now = self.current()
-        write_medians(now, path, [c for c in columns if c in now.columns])
+        rows = [(k, v) for k, v in self.medians().items() if columns is None or k in columns]
+        self.spark.createDataFrame(rows, "key string, value double").coalesce(1).write.mode("errorifexists").json(path)
         return path
 
+    def latest_medians(self) -> DataFrame | None:
+        """``key, value`` of the newest refresh."""
+        try:
+            found = self.spark.read.schema("key string, value double").json(f"{self.folder}/medians/*")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return None
+            raise
+        made = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        newest = found.select(made.alias("made")).agg(F.max("made")).scalar()
+        return found.where(made == newest)
+
     def current(self) -> DataFrame | None:
         """Latest version merged with the batches that came after it."""
         log = self._read("log")
@@ -214,6 +259,7 @@ class IngestTable:
             files = [r[0] for r in lines.select("file").distinct().collect()]
             if files:
                 self.append(read_by_header(self.spark, files, placed=True), batch_id)
+                self.refresh_medians()
 
         stream = self.spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source)
         query = (
