@@ -15,11 +15,12 @@ from transitlake.functions.geometry import cartesian
 from transitlake.functions.labels import class_name, with_classes
 from transitlake.functions.numbers import mean_of_present
 from transitlake.functions.physics import add_physics
-from transitlake.operators import dedup, discover, filters, metrics, quality, releases, sampling, skymatch
+from transitlake.operators import dedup, discover, filters, metrics, quality, releases, running, sampling, skymatch
 from transitlake.plans import adapters as A
 from transitlake.plans import oracle_parts as Q
 from transitlake.plans.build import enrich, unify
 from transitlake.session import checkpoint_folder, cut_lineage, tune
+from transitlake.streaming.ingest import normalise_upload
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1005,6 +1006,51 @@ def latest_upserts(spark, folder):
     return merged.select("star_id", "period", F.col("ingest_seq").alias("event_id"), "value")
 
 
+RUNNING = ["depth_ppm", "dur_h", "ror", "impact", "teff_K"]
+
+
+@query(
+    f"""WITH {Q.FEEDS}, last AS (SELECT * FROM feeds QUALIFY row_number() OVER (PARTITION BY star_id, period
+  ORDER BY {', '.join(f'{c} DESC' for c in ['feed_ord', *Q.ALLKEYS.split(', ')])}) = 1)
+{' UNION ALL '.join(f"SELECT '{c}' AS key, round(median({c}), 6) AS value FROM last" for c in RUNNING)}"""
+)
+def running_medians(spark, folder):
+    """The feeds arrive as three batches; a later row of a key takes the place of the earlier."""
+    place, keys = f"{checkpoint_folder(spark)}/counts-{uuid.uuid4().hex}", ["star_id", "period"]
+    rows = A.feeds(spark, folder).select(*A.FEED_ORDER, *keys, *RUNNING)
+    for batch in range(len(S.MISSIONS)):
+        arrived = dedup.keep_last(rows.where(F.col("feed_ord") == batch), keys, A.FEED_ORDER)
+        touched = arrived.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        earlier = rows.where(F.col("feed_ord") < batch).join(touched, same, "left_semi") if batch else None
+        replaced = dedup.keep_last(earlier, keys, A.FEED_ORDER) if batch else None
+        running.write_changes(running.changes(arrived, replaced, RUNNING), place, batch)
+    found = running.medians(spark.read.parquet(f"{place}/bins"), spark.read.parquet(f"{place}/values"))
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "key string, value double")
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS star_id, CAST(o_custkey AS VARCHAR) AS period, CAST(o_totalprice AS VARCHAR) AS "mag_T",
+  CASE WHEN o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED', '5-LOW') THEN NULL
+       WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 WHEN o_orderstatus = 'P' THEN 2 END AS label_int,
+  0 AS is_kepler, CAST(o_orderpriority = '3-MEDIUM' AS INT) AS is_tess, CAST(o_orderstatus = 'F' AS INT) AS is_k2,
+  CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'F' THEN 'a row carries more than one mission flag' END AS reject_reason
+FROM orders"""
+)
+def upload_rows(spark, folder):
+    """Orders as an upload: names, star id, flags, label and contradictions."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    by_status = F.when(status == "F", "fp").when(status == "O", " CAND ").when(status == "P", "2.0")
+    odd = F.when(priority == "1-URGENT", F.lit(None).cast("string")).when(priority == "4-NOT SPECIFIED", "7").when(priority == "5-LOW", "??")
+    raw = A.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("KepID"), F.col("o_custkey").cast("string").alias("koi_period"),
+        F.col("o_totalprice").cast("string").alias("Tmag"), F.lit("0.5").alias("koi_score"),
+        F.when(priority.isin("1-URGENT", "4-NOT SPECIFIED", "5-LOW"), odd).otherwise(by_status).alias("label_int"),
+        F.when(status == "F", "1").when(status == "O", "x").alias("is_k2"), F.when(priority == "3-MEDIUM", "1").alias("is_tess"),
+    )
+    return normalise_upload(raw, strict=False).drop("KepID")
+
+
 RELEASES_SQL = """m AS (SELECT strftime(ts, '%Y%m%d') AS release, event_type AS metric, 'All' AS mission,
   round(avg(value), 9) AS value FROM events GROUP BY ALL),
 d AS (SELECT *, lag(value) OVER (PARTITION BY metric, mission ORDER BY release) AS previous FROM m)"""

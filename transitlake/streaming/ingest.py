@@ -187,7 +187,7 @@ class IngestTable:
         this one replaces, and only in the columns of the medians."""
         log = self._read("log")
         keys = [c for c in ("star_id", "period") if c in log.columns]
-        columns = [c for c in S.NUMERIC_INPUTS if c in log.columns]
+        columns = [c for c in dict.fromkeys([*S.NUMERIC_INPUTS, *S.FEATURE_COLUMNS]) if c in log.columns]
         placed = [c for c in ("_changed", "_file", "_block", "_line") if c in log.columns]
         batch = merge_batch(None, log.where(F.col("batch_id") == batch_id).drop("batch_id"))
         arrived = batch.select(*{*keys, *columns})
