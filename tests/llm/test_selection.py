@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from transitlake.llm import line_quality, queries, resampling, whitening
 
@@ -245,3 +246,11 @@ def test_registered_queries(spark, data):
     rows = judged.collect()
     assert sorted(r.doc_id for r in rows) == sorted(docs)
     assert np.mean([r.predicted == quality[r.doc_id] for r in rows if r.doc_id in quality]) > 0.95
+
+
+def test_counting_and_ranking_see_the_same_ranges(spark):
+    """Sketches meet in any order, so bounds found anew in each job may differ."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") * 7919 % 4000).alias("score"))
+    plan = resampling.drawn(rows, F.lit(True), 25, "doc_id")
+    assert "percentile_approx" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["rank"], r.score) for r in plan.where("rank IS NOT NULL").collect()) == [(k + 1, 3999 - k) for k in range(1000)]

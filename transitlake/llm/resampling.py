@@ -231,9 +231,10 @@ def drawn(scored: DataFrame, eligible: Column, percent: int, id: str) -> DataFra
     ties to smaller ids, null for all others.
 
     Scores are cut into ranges; a range's rows are counted, and only the ranges that reach
-    into the draw are sorted, each on its own. What is joined has one row a range.
+    into the draw are sorted, each on its own. What is joined has one row a range. Counting
+    and ranking are two jobs, so the ranges' bounds are kept between them.
     """
-    marked = with_ranges(scored.withColumn("_order", F.when(eligible, F.col("score"))), "_order")
+    marked = with_ranges(scored.withColumn("_order", F.when(eligible, F.col("score"))), "_order", kept=True)
     marked = marked.withColumn(RANGES, F.when(F.col("_order").isNotNull(), F.col(RANGES)))
     above = Window.orderBy(F.col(RANGES).desc()).rowsBetween(Window.unboundedPreceding, -1)
     held = marked.where(F.col(RANGES).isNotNull()).groupBy(RANGES).agg(F.count("*").alias("_n"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from transitlake.functions.numbers import finite
 from transitlake.operators import radix
-from transitlake.session import cut_lineage
+from transitlake.session import cut_lineage, written
 
 SKETCH_ACCURACY = 10_000
 RANGES, RANGES_MIN = "_range", 16
@@ -28,16 +28,19 @@ def range_count(df: DataFrame) -> int:
     return 2 ** math.ceil(math.log2(max(wanted, RANGES_MIN)))
 
 
-def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+def with_ranges(df: DataFrame, order: str, ranges: int | None = None, kept: bool = False) -> DataFrame:
     """Add ``_range``: the index of the value range that ``order`` falls in.
 
     The bounds are one lazily evaluated array of ``ranges - 1`` numbers; the
     position is found by halving, so it costs log2(ranges) comparisons per row.
+    They depend on the order in which the tasks' sketches meet: a caller that reads the
+    result in several jobs has them ``kept``, so that all see the same ranges.
     """
     ranges = ranges or range_count(df)
     shares = [i / ranges for i in range(1, ranges)]
     accuracy = max(SKETCH_ACCURACY, 4 * ranges)
-    bounds = df.agg(F.percentile_approx(order, shares, accuracy).alias("bounds")).scalar()
+    sketched = df.agg(F.percentile_approx(order, shares, accuracy).alias("bounds"))
+    bounds = (written(sketched) if kept else sketched).scalar()
     halving, at = [], F.lit(0)
     for e in reversed(range(ranges.bit_length() - 1)):
         beyond = F.get("_bounds", at + (2**e - 1)) < F.col(order)
