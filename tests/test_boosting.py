@@ -126,6 +126,34 @@ def test_histograms_meet_in_tasks_or_on_the_driver(table):
     assert one == other
 
 
+@pytest.fixture
+def collected(monkeypatch):
+    """Rows and bytes of binary cells that each ``collect`` brings to the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect = [], DataFrame.collect
+
+    def spied(df):
+        rows = collect(df)
+        seen.append((len(rows), sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray))))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", spied)
+    return seen
+
+
+def test_driver_sees_no_histograms_of_many_tasks(table, collected):
+    few = table.where("row_id < 1600").repartition(40)
+    assert len(boosting.fit(few, "features", "y", rounds=1, depth=4).rounds) == 1
+    assert max(size for _, size in collected) <= 256 << 10
+
+
+def test_driver_sees_two_partial_sums(spark, collected):
+    parts = spark.createDataFrame([(i, np.array([i, 1.0]).tobytes()) for i in range(60)], "part int, held binary")
+    assert network.added(parts, 60).tolist() == [sum(range(60)), 60.0]
+    assert [n for n, _ in collected] == [1]
+
+
 def test_trees_of_odd_input(spark, table):
     none = boosting.fit(table.limit(0), "features", "y")
     assert none.rounds == []

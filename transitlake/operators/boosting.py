@@ -3,7 +3,8 @@
 Each round grows one tree per class on softmax gradients, a level at a time. For a level the
 tasks add up gradient histograms per (node, feature, bin); the histograms of a node meet in
 one task, which finds its best split, and one row per node reaches the driver. What moves has
-the size of nodes x features x bins, never of the rows.
+the size of nodes x features x bins, never of the rows, and what the driver sees of a level
+stays below ``GATHERED`` bytes, however many tasks there are.
 
 A monotone limit is kept the way bounds are handed down: a split on a limited feature must
 order its two values, and what lies below each side stays on its side of their middle. With
@@ -31,8 +32,8 @@ from transitlake import schema as S
 from transitlake.session import cut_lineage
 
 CLASSES = len(S.CLASS_IDS)
-#: sketch accuracy of the bin bounds, and bytes of histograms that may meet on the driver
-ACCURACY, GATHERED = 10_000, 32 << 20
+#: sketch accuracy of the bin bounds, and bytes of a level's histograms that may meet on the driver
+ACCURACY, GATHERED = 10_000, 256 << 10
 STATE = "x binary, y int, w double, h long, m binary"
 SPLIT = "key int, feature int, bin int, gain double, gl double, hl double, gr double, hr double, vl double, vr double"
 
