@@ -1,7 +1,7 @@
 """A feed-forward classifier with focal loss, trained on all executors.
 
 The loss and its slope are sums over rows: every task adds up its rows with the present
-weights, partial sums meet in two levels of tasks, and the driver takes the next step. What
+weights, partial sums meet in levels of tasks, and the driver takes the next step. What
 moves per step has the size of the network, never of the rows.
 """
 
@@ -23,8 +23,8 @@ from transitlake.operators.boosting import CLASSES, softmax
 from transitlake.operators.descent import minimised
 from transitlake.session import cut_lineage
 
-#: partial sums that one task adds up
-FAN_IN = 64
+#: partial sums that one task adds up, and that the driver does
+FAN_IN, AT_LAST = 64, 2
 
 
 @dataclass
@@ -103,8 +103,8 @@ def focal(x: np.ndarray, y: np.ndarray, w: np.ndarray, point: np.ndarray, layers
 
 
 def added(parts: DataFrame, partitions: int) -> np.ndarray:
-    """The sum of the rows' arrays; over ``FAN_IN`` tasks partial sums meet in tasks first.
-    Sums run in the order of ``part``, so that reruns agree."""
+    """The sum of the rows' arrays; partial sums meet in tasks, ``FAN_IN`` at a time, until
+    ``AT_LAST`` are left for the driver. Sums run in the order of ``part``, so that reruns agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, part = None, 0
@@ -115,7 +115,7 @@ def added(parts: DataFrame, partitions: int) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "held"])
 
-    while partitions > FAN_IN:
+    while partitions > AT_LAST:
         partitions = math.ceil(partitions / FAN_IN)
         parts = parts.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "part int, held binary")
     rows = sorted(parts.collect(), key=lambda r: r["part"])
