@@ -335,6 +335,20 @@ def test_pages_read_one_range(spark, tmp_path):
     assert build_index(df.limit(0), order, str(tmp_path / "none")).page(1, 10).count() == 0
 
 
+def test_page_index_has_as_many_parts_as_the_cluster(spark, tmp_path):
+    """The bounds of a partition are sampled on the driver: more rows, larger partitions."""
+    from transitlake.operators.pages import build_index
+    from transitlake.operators.ranks import range_count
+
+    df = spark.range(3000).select("id", (F.col("id") * 7919 % 3000).alias("score"))
+    index = build_index(df, [F.col("score").desc()], str(tmp_path / "pages"), 10)
+    assert len(index.parts) <= range_count(df) < 300 and index.total == 3000
+    for number, size in ((1, 10), (7, 33), (300, 10), (301, 10), (2, 1000)):
+        got = index.page(number, size).orderBy("rank").collect()
+        want = list(range((number - 1) * size, min(number * size, 3000)))
+        assert [3000 - 1 - r.score for r in got] == want and [r["rank"] - 1 for r in got] == want
+
+
 def test_fingerprint_of_any_layout(spark):
     rows = [(1, 1.5, "a", True), (2, None, "", None), (2, None, "", None), (3, -1e-30, "é|~", False), (4, 1e300, None, True), (5, float("nan"), "5:x", True)]
     schema = "a int, b double, c string, d boolean"

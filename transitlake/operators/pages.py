@@ -3,7 +3,9 @@
 The table is written once in rank order: range partitions of the order, each sorted, with
 every row's number inside its partition. A small table counts the partitions' rows. A page
 then reads the one or two partitions that its ranks lie in, however deep it is, and the
-total is the sum of the counts.
+total is the sum of the counts. The number of partitions follows the cluster, not the table:
+their bounds come from rows that Spark brings to the driver, a hundred and more a partition.
+Inside a large partition the page's row numbers are a filter on files that are in that order.
 """
 
 from __future__ import annotations
@@ -11,13 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from transitlake.operators.ranks import range_count
+
 PART, PLACE = "_part", "_place"
 
 
 def build_index(df: DataFrame, order: list[Column], path: str, rows_per_part: int = 100_000) -> PageIndex:
     """Write the index of ``df`` below ``path``. One range shuffle; no task sorts more than
-    its range. Rows equal in ``order`` keep the order in which they were written."""
-    parts = max(1, -(-df.count() // rows_per_part))
+    its range. Rows equal in ``order`` keep the order in which they were written. A partition
+    has some ``rows_per_part`` rows, more in a table beyond ``range_count`` partitions."""
+    parts = max(1, min(-(-df.count() // rows_per_part), range_count(df)))
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     numbered = placed.withColumn("_id", F.monotonically_increasing_id())
     # the upper bits of the id number the partition, the lower 33 its rows
@@ -50,6 +55,8 @@ class PageIndex:
         held = [(part, before) for part, n, before in self.parts if before < stop and before + n > start]
         # the partition filter is on literals, so other partitions' files are not opened
         chosen = self.rows.where(F.col(PART).isin([p for p, _ in held]))
+        # row numbers that any of them may hold, for the files' statistics
+        chosen = chosen.where(F.col(PLACE).between(min((start - b for _, b in held), default=0), max((stop - b for _, b in held), default=0)))
         offset = F.lit(0)
         for part, before in held:
             offset = F.when(F.col(PART) == part, before).otherwise(offset)
