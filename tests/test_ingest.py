@@ -202,6 +202,27 @@ def test_running_medians_are_exact(spark, rows, tmp_path):
     assert got == {c: median([v[i] for v in held if v[i] is not None]) for i, c in enumerate("abcd")}
 
 
+def test_changes_of_rows_beside_their_former_ones(rows):
+    """As if the rows that leave came in a table of their own."""
+    new = rows("k int, a double, b double, _a double, _b double", (1, 1.0, 2.0, None, None), (2, 1.0, None, 3.0, 2.0), (3, 4.0, 5.0, 4.0, None))
+    gone = rows("a double, b double", (3.0, 2.0), (4.0, None))
+    told = lambda df: sorted(map(tuple, df.collect()))
+    beside = told(running.changes(new, None, ["a", "b"], {"a": "_a", "b": "_b"}))
+    assert beside == told(running.changes(new, gone, ["a", "b"])) == [("a", 1.0, 2), ("a", 3.0, -1), ("b", 5.0, 1)]
+
+
+def test_values_are_shuffled_once(spark, rows, tmp_path, monkeypatch):
+    """The counting puts a value in one task; the files keep those tasks, each in order."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda *a: pytest.fail("values are shuffled again"))
+    running.write_changes(running.changes(rows("a double", *[(float(i % 70),) for i in range(100)]), None, ["a"]), str(tmp_path), 0)
+    for file in (tmp_path / "values" / "batch_id=0").glob("*.parquet"):
+        held = [r.value for r in spark.read.parquet(str(file)).collect()]
+        assert held == sorted(held)
+    assert running.medians(spark.read.parquet(f"{tmp_path}/bins"), spark.read.parquet(f"{tmp_path}/values")) == {"a": 24.5}
+
+
 def test_medians_follow_the_table(spark, rows, tmp_path):
     """Upserts over several batches, a replay and a compaction: as if read anew."""
     rng = random.Random(4)

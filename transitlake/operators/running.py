@@ -28,23 +28,27 @@ def leading(value: str | Column, digits: int) -> Column:
     return F.format_string(f"%.{digits - 1}e", value).cast("double")
 
 
-def changes(arrived: DataFrame, replaced: DataFrame | None, columns: list[str]) -> DataFrame:
+def changes(arrived: DataFrame, replaced: DataFrame | None, columns: list[str], former: dict[str, str] | None = None) -> DataFrame:
     """``column, value, n``: by how much the number of rows with that value grew. Missing
-    values and those that came and went are left out."""
+    values and those that came and went are left out. The rows that leave are those of
+    ``replaced``, or lie beside the new ones, in the columns that ``former`` names."""
 
-    def melted(df: DataFrame, sign: int) -> DataFrame:
+    def melted(df: DataFrame, cells: list[tuple[str, str, int]]) -> DataFrame:
         cell = lambda c: finite(F.col(c).cast("double")) if c in df.columns else F.lit(None).cast("double")
-        pairs = F.array(*[F.struct(F.lit(c).alias("column"), cell(c).alias("value")) for c in columns])
-        return df.select(F.explode(pairs).alias("p"), F.lit(sign).cast("long").alias("n")).select("p.*", "n").where("value IS NOT NULL")
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), cell(held).alias("value"), F.lit(sign).cast("long").alias("n")) for c, held, sign in cells])
+        return df.select(F.explode(rows).alias("p")).select("p.*").where("value IS NOT NULL")
 
-    both = melted(arrived, 1) if replaced is None else melted(arrived, 1).unionByName(melted(replaced, -1))
+    both = melted(arrived, [(c, c, 1) for c in columns] + [(c, held, -1) for c, held in (former or {}).items()])
+    if replaced is not None:
+        both = both.unionByName(melted(replaced, [(c, c, -1) for c in columns]))
     return both.groupBy("column", "value").agg(F.sum("n").alias("n")).where("n != 0")
 
 
 def write_changes(found: DataFrame, folder: str, batch_id: int) -> None:
-    """Values in their order, so that a later filter opens few row groups, and the summary."""
+    """Values in the order of each file, so that a later filter opens few pages of it, and the
+    summary. The files are those of the counting: the values are not shuffled again."""
     values, bins = f"{folder}/values/batch_id={batch_id}", f"{folder}/bins/batch_id={batch_id}"
-    ordered = found.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
+    ordered = found.sortWithinPartitions("column", "value")
     ordered.write.mode("overwrite").parquet(values)
     kept = found.sparkSession.read.schema(CHANGES).parquet(values)
     summary(kept, DIGITS[0]).coalesce(1).write.mode("overwrite").parquet(bins)

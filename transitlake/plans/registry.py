@@ -1016,15 +1016,16 @@ RUNNING = ["depth_ppm", "dur_h", "ror", "impact", "teff_K"]
 )
 def running_medians(spark, folder):
     """The feeds arrive as three batches; a later row of a key takes the place of the earlier."""
-    place, keys = f"{checkpoint_folder(spark)}/counts-{uuid.uuid4().hex}", ["star_id", "period"]
-    rows = A.feeds(spark, folder).select(*A.FEED_ORDER, *keys, *RUNNING)
+    place, former = f"{checkpoint_folder(spark)}/counts-{uuid.uuid4().hex}", {c: f"_{c}" for c in RUNNING}
+    # one key, in which missing parts equal each other: both sides and their join share one shuffle
+    key = F.struct("star_id", "period").alias("key")
+    rows = A.feeds(spark, folder).select(*A.FEED_ORDER, key, *RUNNING)
     for batch in range(len(S.MISSIONS)):
-        arrived = dedup.keep_last(rows.where(F.col("feed_ord") == batch), keys, A.FEED_ORDER)
-        touched = arrived.select(*[F.col(k).alias(f"_{k}") for k in keys])
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        earlier = rows.where(F.col("feed_ord") < batch).join(touched, same, "left_semi") if batch else None
-        replaced = dedup.keep_last(earlier, keys, A.FEED_ORDER) if batch else None
-        running.write_changes(running.changes(arrived, replaced, RUNNING), place, batch)
+        arrived = dedup.keep_last(rows.where(F.col("feed_ord") == batch), ["key"], A.FEED_ORDER).select("key", *RUNNING)
+        if batch:
+            earlier = dedup.keep_last(rows.where(F.col("feed_ord") < batch), ["key"], A.FEED_ORDER).select("key", *RUNNING)
+            arrived = arrived.join(earlier.withColumnsRenamed(former).hint("merge"), "key", "left")
+        running.write_changes(running.changes(arrived, None, RUNNING, former if batch else None), place, batch)
     found = running.medians(spark.read.parquet(f"{place}/bins"), spark.read.parquet(f"{place}/values"))
     return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "key string, value double")
 
