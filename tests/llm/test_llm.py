@@ -200,6 +200,21 @@ def test_lm_scores_are_brute_force(spark, order, block, part):
     assert lm_scores.score(df.limit(0)).collect() == []
 
 
+def test_lm_blocks_are_not_shuffled_and_cells_are_tight(spark):
+    df = spark.createDataFrame([(i, f"w{i % 3} w1 w2") for i in range(30)], "doc_id long, text string")
+    scored = lm_scores.score(df, block_words=7)
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 2  # n-grams and answers
+    assert not any(t.name.startswith("buckets_") for t in spark.catalog.listTables())
+    assert len(scored.collect()) == 30
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 2**64, 20_000, np.uint64))
+    cell = lm_scores.packed(np.diff(hashes, prepend=np.uint64(0)))
+    assert len(cell) < 1.1 * len(hashes) * (64 - np.log2(len(hashes)) + 1.45) / 8
+    for values in (hashes, hashes[:0], np.arange(-3, 4, dtype=np.int32), np.array([7], np.uint8)):
+        assert lm_scores.unpacked(lm_scores.packed(values), values.dtype).tolist() == values.tolist()
+
+
 def plain_measures(text):
     words = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]

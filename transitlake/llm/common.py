@@ -33,6 +33,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As :func:`stored`, in as many buckets of ``key`` as shuffles have partitions: grouping by
+    ``key`` reads them where they lie, and only what they meet is shuffled."""
+    spark, name = df.sparkSession, f"buckets_{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolved: the files are enough from here on, the name is given back
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Input columns that carry an output's name give way to the output."""
     return df.drop(*names)
