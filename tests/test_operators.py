@@ -421,3 +421,26 @@ def test_radix_selection_is_exact(spark):
     assert radix.order_statistics(nothing, ["v"], [0.5], ranks_of, ["h"]).collect() == []
     several = radix.order_statistics(df, ["w"], [0.5], lambda n, k: F.array(F.lit(2), F.lit(3), F.lit(2)).cast("array<bigint>"), [])
     assert sorted(r["value"] for r in several.collect()) == [1.0, 1.0, 2.0]
+
+
+def test_radix_passes_send_one_arrow_column_for_all_values(spark):
+    from transitlake.operators import radix
+
+    df = spark.createDataFrame([("a", 1.0, None), ("b", -0.0, 2.0), (None, 3.0, None)], "g string, _v0 double, _v1 double")
+    counts = radix.digit_counts(df, ["g"], 2, {("a",): 0, ("b",): 1, (None,): 2}, 0, {})
+    assert sorted((r["g"], r["slot"], r["n"]) for r in counts.collect()) == [(0, 0, 1), (1, 0, 1), (1, 1, 1), (2, 0, 1)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Project [g#" in plan and "AS _cells#" in plan and "MapInArrow run(g#" in plan and "_v1#" not in plan.split("MapInArrow")[1].split("\n")[0]
+
+
+def test_round_double_is_round(spark):
+    from transitlake.functions.numbers import round_double
+
+    rng = np.random.default_rng(6)
+    ties = [k / 64 * s for k in range(-200, 200) for s in (1.0, 1e-6, 1e-9)] + [k + 0.5 for k in (0.0, 7.0, 2.0**41)]
+    odd = [0.0, -0.0, -1e-12, 1e300, -1e300, 5e-324, 2.0**40, 2.0**52 + 1, float("inf"), float("-inf"), float("nan"), None, 0.1234565, 1.0000005, 2.5e-7, 1099511.6277755]
+    values = [*odd, *ties, *rng.normal(size=2000).tolist(), *np.exp(rng.uniform(-30, 40, 2000)).tolist(), *(rng.integers(-(10**6), 10**6, 2000) / 2e6).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (6, 9):
+        got = df.select(round_double(F.col("v"), digits).alias("a"), F.round("v", digits).alias("b")).collect()
+        assert [str(r["a"]) for r in got] == [str(r["b"]) for r in got]

@@ -22,6 +22,17 @@ def to_number(c: Column) -> Column:
     return finite(c.try_cast("double"))
 
 
+def round_double(c: Column, digits: int) -> Column:
+    """``round`` of a double. Spark's own writes the number as decimal text and reads it back;
+    that is left to numbers next to a tie or too large for the product to show the tie. Elsewhere
+    a whole number over a power of ten is the double nearest to that decimal, as it is there."""
+    scale = 10.0**digits
+    shifted = c * scale
+    whole = F.rint(shifted)
+    plain = (F.abs(shifted) < 2.0**40) & (F.abs(shifted - whole) < 0.499)
+    return F.when(plain, whole / scale + 0.0).otherwise(F.round(c, digits))
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division where a zero denominator gives NULL. Inputs are finite already."""
     return F.try_divide(numerator, denominator)

@@ -13,7 +13,7 @@ from transitlake.functions import decide
 from transitlake.functions.features import add_bundles, add_catalog_features
 from transitlake.functions.geometry import cartesian
 from transitlake.functions.labels import class_name, with_classes
-from transitlake.functions.numbers import mean_of_present
+from transitlake.functions.numbers import mean_of_present, round_double
 from transitlake.functions.physics import add_physics
 from transitlake.operators import dedup, discover, filters, metrics, quality, releases, running, sampling, skymatch
 from transitlake.plans import adapters as A
@@ -52,6 +52,10 @@ def rounded(*names: str, digits: int = 6) -> list[Column]:
     return [r(n, digits).alias(n) for n in names]
 
 
+def rounded_doubles(*names: str, digits: int = 6) -> list[Column]:
+    return [round_double(F.col(n), digits).alias(n) for n in names]
+
+
 def sql_rounded(*names: str, digits: int = 6) -> str:
     return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
 
@@ -104,8 +108,8 @@ FROM bundles"""
 def uncertainty_bundles(spark, folder):
     return add_bundles(A.feeds(spark, folder)).select(
         *A.LINE_KEY,
-        *rounded("dur_h_err_mean", "depth_ppm_err_mean"),
-        *rounded("dur_h_rel_err", "depth_ppm_rel_err", digits=9),
+        *rounded_doubles("dur_h_err_mean", "depth_ppm_err_mean"),
+        *rounded_doubles("dur_h_rel_err", "depth_ppm_rel_err", digits=9),
         "dur_h_missing",
         "depth_ppm_missing",
     )
@@ -122,7 +126,7 @@ CATALOG_FEATURES = [
 SELECT {Q.ALLKEYS}, {sql_rounded(*CATALOG_FEATURES)}, ecc_flag, high_b FROM featured"""
 )
 def catalog_features(spark, folder):
-    return featured(spark, folder).select(*A.LINE_KEY, *rounded(*CATALOG_FEATURES), "ecc_flag", "high_b")
+    return featured(spark, folder).select(*A.LINE_KEY, *rounded_doubles(*CATALOG_FEATURES), "ecc_flag", "high_b")
 
 
 def physics_steps(source: str) -> str:
@@ -167,7 +171,7 @@ SELECT {Q.ALLKEYS}, {sql_rounded(*PHYSICS_OUT)}, round(eqt_filled, 6) AS eqt_K,
 def physics_features(spark, folder):
     physical = add_physics(featured(spark, folder))
     flags = [*S.PHYSICS_FLAGS, "physics_veto_flag"]
-    return physical.select(*A.LINE_KEY, *rounded(*PHYSICS_OUT, "eqt_K"), *flags)
+    return physical.select(*A.LINE_KEY, *rounded_doubles(*PHYSICS_OUT, "eqt_K"), *flags)
 
 
 @query(
@@ -187,7 +191,7 @@ FROM plausible"""
 )
 def plausible_rows(spark, folder):
     kept = filters.plausible(A.feeds(spark, folder))
-    return kept.select(*A.LINE_KEY, "mission", *rounded("ror", "impact", "incl_deg"))
+    return kept.select(*A.LINE_KEY, "mission", *rounded_doubles("ror", "impact", "incl_deg"))
 
 
 @query(
@@ -232,7 +236,7 @@ FROM plausible JOIN bounds ON mission = m"""
 )
 def winsorized(spark, folder):
     clipped = quality.winsorize(enrich(A.feeds(spark, folder)), CLIPPED, ["mission"])
-    return clipped.select(*A.LINE_KEY, "mission", *rounded(*CLIPPED))
+    return clipped.select(*A.LINE_KEY, "mission", *rounded_doubles(*CLIPPED))
 
 
 MEDIANS = ["period", "depth_ppm", "ror", "impact", "teff_K", "depth_snr"]
@@ -320,8 +324,8 @@ FROM q"""
 def unified_table(spark, folder):
     unified = unify(A.separate_feeds(spark, folder), order=A.FEED_ORDER)
     return unified.select(
-        *A.LINE_KEY, "mission", "star_id", "label", "label_int", *rounded("period", *UNIFIED_OUT),
-        *S.MISSION_FLAGS.values(), *rounded(*PHYSICS_OUT, "eqt_K"), *S.PHYSICS_FLAGS, "physics_veto_flag",
+        *A.LINE_KEY, "mission", "star_id", "label", "label_int", *rounded_doubles("period", *UNIFIED_OUT),
+        *S.MISSION_FLAGS.values(), *rounded_doubles(*PHYSICS_OUT, "eqt_K"), *S.PHYSICS_FLAGS, "physics_veto_flag",
     )
 
 
